@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import bpe
+from weftspark.llm import bpe, decontaminate, language, lines, simhash
+from weftspark.llm.rows import PRIVATE
 from weftspark.sources.tables import table
 
 
@@ -17,6 +18,88 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language.fit(docs, F.col("doc_id").isNotNull() & ~language.held_out("doc_id", 4, 2))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id",
+        language.held_out("doc_id", 4, 2).alias("held_out"),
+        F.col(f"{PRIVATE}lang_pred").alias("lang_pred"),
+        F.col(f"{PRIVATE}lang_score").alias("score"),
+    )
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    hit = F.aggregate(f"{PRIVATE}spans", F.lit(0).cast("bigint"), lambda n, s: n + s["after"] - s["first"])
+    return found.select(
+        "doc_id",
+        F.col(f"{PRIVATE}n_words").alias("n_words"),
+        hit.alias("n_hit"),
+        F.size(f"{PRIVATE}items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(f"{PRIVATE}items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)
+), ks AS (SELECT DISTINCT k FROM iw), dw AS (
+  SELECT r, s, k, array_to_string(w[s : s + k - 1], ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, ks WHERE len(w) >= k)
+), m AS (SELECT dw.r, dw.s, dw.k, iw.item FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win), h AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + k)) AS p FROM m) GROUP BY r
+), n AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN n ON d.r = n.r
+"""
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id",
+        F.col(f"{PRIVATE}n_lines").alias("n_lines"),
+        F.col(f"{PRIVATE}n_dropped").alias("n_dropped"),
+        F.sha2(f"{PRIVATE}kept", 256).alias("kept_sha256"),
+    )
+
+
+OP7_SQL = """
+WITH l AS (
+  SELECT r, doc_id, s AS i, ls[s] AS line,
+         translate(trim(ls[s], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS s
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), held AS (
+  SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5 AND max(doc_id) IS NOT NULL
+), marked AS (
+  SELECT l.*, held.keeper IS NOT NULL AND l.doc_id IS DISTINCT FROM held.keeper AS gone FROM l LEFT JOIN held ON l.k = held.k
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     coded = bpe.encode(docs, tokenizer_path())
@@ -29,7 +112,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language": op3_language,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_lines": op7_lines,
+    "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_lines": OP7_SQL}
