@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import bpe, decontaminate, language, lines, simhash
+from weftspark.llm import bpe, decontaminate, language, lines, quality, sampling, simhash, toxicity
 from weftspark.llm.rows import PRIVATE
 from weftspark.sources.tables import table
 
@@ -18,6 +18,24 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sample, counts = sampling.labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, toxicity.PER_CLASS)
+    score = F.col(f"{PRIVATE}toxic_score")
+    return toxicity.score_toxicity(docs, toxicity.fit(sample, counts)).select(
+        "doc_id", language.held_out("doc_id", 4, 2).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    sample, counts = sampling.labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, quality.PER_CLASS)
+    score = F.col(f"{PRIVATE}quality_score")
+    return quality.score_quality(docs, quality.fit(sample, counts)).select(
+        "doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs, F.col("doc_id").isNotNull() & ~language.held_out("doc_id", 4, 2))
@@ -112,7 +130,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
+    "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lines": op7_lines,
     "op9_simhash": op9_simhash,
