@@ -35,7 +35,9 @@ ORDINARY_BYTES = 8000
 GRAMS = (4, 5, 6)
 #: An n-gram marks toxic text if its likelihood ratio statistic is RATIO_SHARE of the toxic documents it is counted in,
 #: within these bounds, and if it is in at least LEAST_DOCS of them.
-RATIO_SHARE, RATIO_BOUNDS, LEAST_DOCS = 0.1, (15.0, 80.0), 5
+RATIO_SHARE, RATIO_BOUNDS, LEAST_DOCS = 0.06, (15.0, 80.0), 5
+#: Share of the sample that trains the dictionaries; the rest calibrates.
+DICTIONARY_SHARE = 0.65
 #: Threshold of the prediction.
 THRESHOLD = 0.3
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -160,7 +162,7 @@ class Gains:
 
 
 def fit(sample: list[tuple[bytes, int]], counts: tuple[int, int] | None = None) -> ToxicityModel:
-    """A model from whole texts (UTF-8) and labels: half of each class for the dictionaries, half for calibration.
+    """A model from whole texts (UTF-8) and labels: part of each class for the dictionaries, the rest for calibration.
 
     counts has the sizes of both classes, of which the sample may hold unequal parts; the score allows for that.
     """
@@ -169,7 +171,8 @@ def fit(sample: list[tuple[bytes, int]], counts: tuple[int, int] | None = None)
         classes[label].append(text.decode("utf-8", "replace"))
     if not all(classes):
         return ToxicityModel(b"", b"")
-    halves = [(c[: (len(c) + 1) // 2], c[(len(c) + 1) // 2 :] or c) for c in classes]
+    cuts = [max(1, round(DICTIONARY_SHARE * len(c))) for c in classes]
+    halves = [(c[:k], c[k:] or c) for c, k in zip(classes, cuts, strict=True)]
     (ordinary, clean), (toxic, bad) = halves
     folded = [[fold(t) for t in part] for part in (ordinary, toxic)]
     words = Counter(w for t in folded[0] for w in set(t.split()))
