@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import bpe, decontaminate, language, lines, quality, sampling, simhash, toxicity
+from weftspark.llm import bpe, decontaminate, language, lines, quality, sampling, simhash, substrings, toxicity
 from weftspark.llm.rows import PRIVATE
 from weftspark.sources.tables import table
 
@@ -36,6 +36,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = substrings.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return removed.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs, F.col("doc_id").isNotNull() & ~language.held_out("doc_id", 4, 2))
@@ -131,6 +142,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_substrings": op2_substrings,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
