@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import bpe, decontaminate, language, lines, quality, sampling, simhash, substrings, toxicity
+from weftspark.llm import audio, bpe, decontaminate, language, lines, quality, sampling, sharding, simhash, substrings, toxicity
 from weftspark.llm.rows import PRIVATE
 from weftspark.sources.tables import table
 
@@ -59,6 +59,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), sharding.tree_of(24))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -124,6 +128,21 @@ FROM marked GROUP BY r
 """
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no audio: each vector of embeddings is played as a tune, whose samples are fingerprinted."""
+    prints = audio.fingerprints(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding", "vec_id", audio.melody)
+    return audio.align(prints).select(
+        F.col("id").alias("vec_id"),
+        F.size("prints").cast("bigint").alias("n_prints"),
+        F.sha2(F.array_join(F.col("prints").cast("array<string>"), ","), 256).alias("prints_sha256"),
+        "class_id",
+        "n_links",
+        "match_id",
+        "shift",
+        "bit_error",
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -144,9 +163,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
     "op3_language": op3_language,
+    "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_lines": op7_lines,
+    "op8_audio": op8_audio,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
