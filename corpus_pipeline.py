@@ -16,8 +16,9 @@ from weftspark.llm.rows import PRIVATE
 from weftspark.session import ship_package, stored
 from weftspark.sources.tables import table
 
-#: A document whose leading language has a smaller proportion is rejected, as is one without a letter.
-LEAST_LANGUAGE_SHARE = 0.5
+#: A document whose leading language has a smaller proportion is rejected, as is one without a letter; texts in two or
+#: three languages stay.
+LEAST_LANGUAGE_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
