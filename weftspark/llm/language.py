@@ -1,7 +1,7 @@
 """Operator 3: language identification by multilingual mixture inference.
 
 Letters in lower case, everything else one space, give hashed byte trigrams.  A language's model is its smoothed trigram
-distribution, counted over every training document.  A document's trigrams are taken as draws from a mixture of
+distribution, averaged over every training document.  A document's trigrams are taken as draws from a mixture of
 languages: expectation-maximisation estimates the proportions.  The set of languages is chosen by penalised likelihood:
 each language beyond the first must raise the log-likelihood by PENALTY times the logarithm of the trigram count.  The
 prediction is the language of the largest proportion in the chosen set, and that proportion is its score.
@@ -28,6 +28,8 @@ from weftspark.llm.rows import add_columns
 
 #: Trigram buckets: a language model has this many numbers, which bounds what is collected and broadcast.
 BUCKET_BITS = 14
+#: Every training document has this weight, so that a few very long ones don't make up a language.
+DOCUMENT_MASS = 1_000_000
 ROUNDS = 12
 PENALTY = 3.0
 #: Proportions below this are not reported and do not enter the search for the set.
@@ -80,6 +82,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang")
         for batch in batches:
             for language, (_, counts) in zip(column(batch, "lang").to_pylist(), _documents(column(batch, "text")), strict=True):
                 if len(counts):
+                    counts = (counts * DOCUMENT_MASS) // counts.sum()
                     sums[language] = sums[language] + counts if language in sums else counts
         for language, counts in sums.items():
             at = np.flatnonzero(counts)
@@ -91,7 +94,7 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang")
     for k, language in enumerate(languages):
         own = totals[totals["lang"] == language]
         table[own["bucket"].to_numpy(), k] = own["n"].to_numpy()
-    table += 0.5
+    table += DOCUMENT_MASS / 2000  # half a trigram of a document of a thousand
     return LanguageModel(languages, table / table.sum(axis=0, keepdims=True))
 
 
