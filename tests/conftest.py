@@ -1,6 +1,6 @@
 import pytest
 
-from weftspark.session import local_session, ship_package
+from weftspark.session import clear_scratch, local_session, ship_package
 
 
 @pytest.fixture(scope="session")
@@ -9,4 +9,5 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
+    clear_scratch(session)
     session.stop()

@@ -46,9 +46,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/weftspark-{label}-{uuid.uuid4().hex}"
 
 
+_scratch: dict[str, list[str]] = {}
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what stored() has written for this application, once its results are no longer read; returns the number."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Materialise df as Parquet in the shared folder: columnar, and readable by any executor."""
     path = scratch_path(df.sparkSession, label)
+    _scratch.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
