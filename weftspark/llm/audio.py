@@ -130,15 +130,33 @@ def fingerprints(df: DataFrame, media: str, id_column: str, decode: Callable[[ob
     return df.select(F.col(id_column).alias("__id"), F.col(media).alias("__media")).mapInArrow(run, f"id {kind}, prints array<int>")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of RUN integers of a class: its hash and first position."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    for batch in batches:
+        found = []
+        for row in column(batch, "prints"):
+            wide = row.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+            n = len(wide) - RUN + 1
+            h = np.zeros(n, np.uint64)
+            for i in range(RUN):
+                h = (h ^ wide[i : i + n]) * odd
+                h ^= h >> np.uint64(31)
+            found.append(np.unique(h, return_index=True))
+        times = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+        key, pos = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        arrays = [column(batch, "class_id").take(times), column(batch, "asked").take(times), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(pos.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "asked", "key", "pos"])
+
+
 def align(prints: DataFrame, every: int = 50) -> DataFrame:
     """Of every row: id, prints, class_id; and for rows whose id is divisible by `every`, the alignment with other classes:
     n_links, and the best one's match_id, shift and bit_error (null without a link)."""
     prints = stored(prints, "prints")
     classes = prints.groupBy("prints").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asked"))
     classes = stored(classes, "classes")
-    runs = F.transform(F.sequence(F.lit(1), F.size("prints") - RUN + 1), lambda i: F.xxhash64(F.slice("prints", i, RUN)))
-    keys = classes.filter(F.size("prints") >= max(RUN, LEAST_OVERLAP)).select("class_id", "asked", F.posexplode(runs).alias("pos", "key"))
-    keys = keys.groupBy("class_id", "asked", "key").agg(F.min("pos").alias("pos"))
+    kind = classes.schema["class_id"].dataType.simpleString()
+    keys = classes.filter(F.size("prints") >= max(RUN, LEAST_OVERLAP)).select("class_id", "asked", "prints").mapInArrow(_runs, f"class_id {kind}, asked boolean, key bigint, pos int")
     asked = keys.filter("asked").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "key")
     votes = asked.join(keys.select("class_id", "pos", "key"), "key").filter("query <> class_id").groupBy("query", "class_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("query", "class_id").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("best"))
