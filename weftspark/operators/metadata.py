@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.functions.text import optional_text, parse_date
+from weftspark.operators.parties import parties
 from weftspark.operators.sheets import SHEET
 
 # Currency codes and their names; marks that stand for a code by themselves or as a plain symbol.
@@ -16,8 +17,6 @@ HOLIDAY = r"(?i)\bCNY\s+(?:HOLIDAY|HOLIDAYS|PUBLIC\s+HOLIDAY|NEW\s+YEAR)\b"
 SHIP_DATE_LABELS = (
     "planned shipping date", "plan shipping date", "shipping date", "shipment date", "delivery date", "requested delivery date", "etd", "ex-factory date", "ex factory date", "计划发货日期", "交货日期",
 )
-CUSTOMER_LABELS = ("buyer", "customer", "client", "bill to", "consignee", "买方", "客户")
-SALES_LABELS = ("salesperson", "sales person", "sales", "seller contact", "业务员", "联系人")
 #: A format that marks a currency counts as a statement if so few columns have it.
 FEW_COLUMNS = 3
 
@@ -74,21 +73,9 @@ def ship_date(rows: DataFrame) -> DataFrame:
     )
 
 
-def party(rows: DataFrame, labels: tuple[str, ...], name: str) -> DataFrame:
-    """Per sheet: the value at a party's label, ambiguous if the nearest values of several labels differ (case ignored)."""
-    found = labelled_values(rows, labels, reach=3)
-    nearest = found.groupBy(*SHEET, "row", "label_col").agg(F.min_by("value", "distance").alias("value"))
-    values = nearest.groupBy(*SHEET).agg(F.count_distinct(F.lower("value")).alias("n"), F.min_by("value", F.struct("row", "label_col")).alias("value"))
-    return rows.select(*SHEET).distinct().join(values, SHEET, "left").select(
-        *SHEET,
-        F.when(F.col("n") == 1, F.col("value")).otherwise("").alias(name),
-        F.when(F.col("n") == 1, "extracted").when(F.col("n") > 1, "ambiguous").otherwise("source_not_provided").alias(f"{name}_status"),
-    )
-
+def metadata(rows: DataFrame, seller_marks: tuple[str, ...] = ()) -> DataFrame:
+    """customer, currency, salesperson and ship_date of each sheet, each with its status.
 
-def metadata(rows: DataFrame) -> DataFrame:
-    """customer, currency, salesperson and ship_date of each sheet, each with its status.  rows: the grid above the table
-    for parties, the whole grid for the rest."""
-    above = rows
-    out = currency(rows).join(ship_date(rows), SHEET)
-    return out.join(party(above, CUSTOMER_LABELS, "customer"), SHEET).join(party(above, SALES_LABELS, "salesperson"), SHEET)
+    seller_marks are names by which the seller shows itself, where its block has no label.
+    """
+    return currency(rows).join(ship_date(rows), SHEET).join(parties(rows, seller_marks), SHEET)

@@ -12,14 +12,14 @@ from weftspark.session import stored
 from weftspark.sources.xlsx import workbook_cells
 
 
-def parse_cells(cells: DataFrame) -> DataFrame:
+def parse_cells(cells: DataFrame, seller_marks: tuple[str, ...] = ()) -> DataFrame:
     """Records with statuses of every wanted line in the cells of many workbooks."""
     rows = stored(sheets.grid(sheets.fill_merged(sheets.choose_sheet(cells))), "grid")
-    return items.formal_records(items.raw_items(sheets.table_rows(rows)), metadata.metadata(rows))
+    return items.formal_records(items.raw_items(sheets.table_rows(rows)), metadata.metadata(rows, seller_marks))
 
 
-def parse_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    return parse_cells(stored(workbook_cells(spark, path), "cells"))
+def parse_workbooks(spark: SparkSession, path: str, seller_marks: tuple[str, ...] = ()) -> DataFrame:
+    return parse_cells(stored(workbook_cells(spark, path), "cells"), seller_marks)
 
 
 def status_report(records: DataFrame) -> DataFrame:
