@@ -43,6 +43,8 @@ MAX_FILTER_BITS = 1 << 28
 BROADCAST_ROWS = 1_000_000
 SEGMENT_BITS = 1 << 18
 PROBES = 3
+#: Filters of one segment are merged in so many groups first, then these.
+SLOTS = 32
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -83,7 +85,6 @@ def twice_filter(docs: DataFrame, text: str, min_chars: int = MIN_CHARS, max_bit
     small_batches(docs.sparkSession)
     lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
     bits = min(max_bits, max(SEGMENT_BITS, 1 << int(BITS_PER_LINE * lines - 1).bit_length()))
-    slots = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     schema = "segment int, slot int, once binary, twice binary"
 
     def pieces(once: np.ndarray, twice: np.ndarray, slot: int) -> pd.DataFrame:
@@ -95,7 +96,7 @@ def twice_filter(docs: DataFrame, text: str, min_chars: int = MIN_CHARS, max_bit
         seen = [_low(list({d for _, d in _digests(t, min_chars)})) for batch in batches for t in texts(column(batch, text))]
         hashes, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0))
         if len(hashes):
-            slot = TaskContext.get().partitionId() % slots
+            slot = TaskContext.get().partitionId() % SLOTS
             yield pa.RecordBatch.from_pandas(pieces(_bitmap(hashes, bits), _bitmap(hashes[counts > 1], bits), slot).astype({"segment": "int32", "slot": "int32"}), preserve_index=False)
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
