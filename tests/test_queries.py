@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import weftspark.plans.domain_queries  # noqa: F401  registers its queries
 from weftspark.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
