@@ -55,6 +55,7 @@ def match_orders(queries: DataFrame, master: DataFrame, query_vectors: DataFrame
     """
     if top_k < 10 or recall_k <= 0:
         raise ValueError("top_k is 10 at least, recall_k 1 at least")
+    queries = stored(queries, "queries")
     indexed = master.join(master_vectors.select("material_code"), "material_code", "left_semi")
     structured = recall.structured_recall(queries, indexed, "order_id", "product_category", OPEN_FIELDS, "material_code")
     by_vector = recall.vector_topk(
@@ -62,8 +63,11 @@ def match_orders(queries: DataFrame, master: DataFrame, query_vectors: DataFrame
     ).select(F.col("query_id").alias("order_id"), F.col("item_id").alias("material_code"), "similarity")
     by_vector = stored(by_vector, "recall")
     union = recall.union_recall(structured, by_vector, "order_id", "material_code")
+    # written out, so that each row is prepared once and not once a pair
     q = scoring.prepared(queries, "q_").select("order_id", *[c for f in scoring.COMPARED for c in (f"q_{f}_raw", f"q_{f}_text", f"q_{f}_key")], "q_size", "q_features")
+    q = stored(q, "prepared-queries")
     m = scoring.prepared(indexed, "m_").select("material_code", "document_text", *scoring.COMPARED, "fabric_category", *[c for f in scoring.COMPARED for c in (f"m_{f}_raw", f"m_{f}_text", f"m_{f}_key")], "m_size", "m_features")
+    m = stored(m, "prepared-master")
     pairs = union.join(by_vector, ["order_id", "material_code"], "left")
     vectors = query_vectors.select("order_id", F.col("vector").alias("_q")), master_vectors.select("material_code", F.col("vector").alias("_m"))
     pairs = pairs.join(vectors[0], "order_id").join(vectors[1], "material_code").withColumn("similarity", F.coalesce("similarity", dot(F.col("_q"), F.col("_m")))).drop("_q", "_m")
