@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftspark.functions.text import audit_text, clean_text, collapse, contains_any, first_case, master_text, nfkc, plain_number, text_of
+from weftspark.functions.text import audit_text, clean_text, contains_any, first_case, master_text, plain_number, text_of
 
 # Units and the words that carry them.
 UNIT = r"(mm|cm|inches|inch|in|\")"
@@ -204,6 +204,3 @@ def master_composition(value: Column) -> Column:
     cotton, poly = r"C(\d{1,3})/?T(\d{1,3})", r"T(\d{1,3})/?C(\d{1,3})"
     share = lambda pattern, c, t: F.concat(F.lit("C"), F.regexp_extract(text, pattern, c).cast("int"), F.lit("/T"), F.regexp_extract(text, pattern, t).cast("int"))
     return first_case((text.isin("C100", "100C", "100%C", "100%棉"), "C100"), (text.rlike(cotton), share(cotton, 1, 2)), (text.rlike(poly), share(poly, 2, 1)), otherwise=text)
-
-
-__all__ = [name for name in dir() if name.startswith(("order_", "master_", "extra_"))] + ["PACKAGING", "nfkc", "collapse"]

@@ -35,11 +35,6 @@ def prepared(df: DataFrame, prefix: str) -> DataFrame:
     return out
 
 
-def _status(field: str, q: str, c: str, same: Column, exact: Column, different: str) -> Column:
-    """Status of a field whose keys decide."""
-    return F.when(same, F.when(exact, "exact_match").otherwise("equivalent_match")).otherwise(different)
-
-
 def field_status(field: str, q: str, c: str) -> Column:
     """How the query's and the candidate's field compare."""
     col = lambda side, what: F.col(f"{side}{field}_{what}")
@@ -72,7 +67,7 @@ def field_status(field: str, q: str, c: str) -> Column:
     else:
         exact = col(q, "text") == col(c, "text")
     different = "hard_conflict" if field in HARD_FIELDS else "no_match"
-    return missing.when(keys, "not_comparable").otherwise(_status(field, q, c, same, exact, different))
+    return missing.when(keys, "not_comparable").when(~same, different).when(exact, "exact_match").otherwise("equivalent_match")
 
 
 def status_score(status: Column) -> Column:

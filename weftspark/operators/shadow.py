@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.functions import sizes as S
-from weftspark.functions.text import audit_text, contains_any, first_case, plain_number
+from weftspark.functions.text import audit_text, first_case, plain_number
 from weftspark.operators.dictionary import FABRIC_ORDER, color_candidates, match_fabrics, single_candidate
 from weftspark.sources.dictionaries import Dictionaries
 
@@ -231,6 +231,3 @@ def _compare_styles(rows: DataFrame, styles: DataFrame) -> DataFrame:
 def validated(compared: DataFrame) -> DataFrame:
     """The four fields that are validated for a product, with the action that follows."""
     return compared.filter(F.col("field").isin("币种", "物料名称", "规格", "颜色")).withColumn("action", F.when(F.col("status").isin("ambiguous", "conflict", "partial_match"), "manual_review").otherwise("keep"))
-
-
-__all__ = [n for n in dir() if n[0].islower()] + ["contains_any"]

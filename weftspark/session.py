@@ -29,7 +29,11 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, driver_memory:
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/weftspark-checkpoints") -> str:
     """The folder every executor shares (spark.checkpoint.dir); the fallback serves local runs where it is unset."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or fallback
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = fallback
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder
