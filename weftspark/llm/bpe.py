@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftspark.llm.arrow_text import column, small_batches
 
 #: Words a worker remembers at most; the table is emptied beyond that.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
 #: Characters of text whose new words are merged together.
 BLOCK_CHARS = 4_000_000
 #: Latin, Greek, Cyrillic, punctuation and the main CJK blocks: assigned and cased alike in every Unicode version in use.
