@@ -39,8 +39,8 @@ MIN_DOCS = 5
 #: Bits of a filter for each line, and at most (32 MB, which is broadcast).
 BITS_PER_LINE = 8
 MAX_FILTER_BITS = 1 << 28
-#: Repeated keys that may be broadcast: 24 bytes each.
-BROADCAST_ROWS = 1_000_000
+#: Repeated keys that may be broadcast: some 200 bytes each as a Python table in a worker.
+BROADCAST_ROWS = 200_000
 SEGMENT_BITS = 1 << 18
 PROBES = 3
 #: Filters of one segment are merged in so many groups first, then these.
