@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,11 +25,42 @@ def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.filter(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+#: Accuracy of the sketch that brackets a quantile; the bracket is twice as wide as its error.
+SKETCH = 10_000
+
+
 def five_numbers(df: DataFrame, by: list[str], value: str, places: int = 6) -> DataFrame:
-    """Count, extremes and inclusive quartiles per group, exact."""
-    quartiles = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.min(value).alias("min"), quartiles.alias("q"), F.max(value).alias("max"))
-    return rows.select(*by, "count", F.round("min", places).alias("min"), *[F.round(F.col("q")[i], places).alias(name) for i, name in enumerate(("q1", "median", "q3"))], F.round("max", places).alias("max"))
+    """Count, extremes and inclusive quartiles per group, exact.
+
+    A sketch brackets each quartile; only the few values inside a bracket are ranked, and those below are counted.  So no
+    task holds the values of a whole group.
+    """
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")  # so that null keys join
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), key.alias("_k"))
+    edges = [F.lit(min(1.0, max(0.0, q + d))) for q in quartiles.values() for d in (-2 / SKETCH, 2 / SKETCH)]
+    keys = ["_k"]
+    groups = rows.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in by], F.count(F.lit(1)).alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.percentile_approx("_v", F.array(*edges), F.lit(SKETCH)).alias("_b"))
+    marked = rows.join(groups.select(*keys, "_b"), keys)
+    outside = []
+    for i, n in enumerate(quartiles):
+        low, high = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
+        outside += [F.count_if(F.col("_v") < low).alias(f"_below_{n}"), F.max(F.when(F.col("_v") < low, F.col("_v"))).alias(f"_before_{n}"), F.min(F.when(F.col("_v") > high, F.col("_v"))).alias(f"_behind_{n}")]
+    below = marked.groupBy(*keys).agg(*outside)
+    inside = F.array_compact(F.array(*[F.when(F.col("_v").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1]), F.lit(n)) for i, n in enumerate(quartiles)]))
+    near = marked.withColumn("_q", F.explode(inside)).groupBy(*keys, "_q", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    near = near.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_q").orderBy("_v")))
+    joined = near.join(groups.select(*keys, "count").join(below, keys), keys)
+    at = []
+    for n, q in quartiles.items():
+        for side, f in (("low", F.floor), ("high", F.ceil)):
+            place = f((F.col("count") - 1) * q)
+            first = F.min(F.when((F.col("_q") == n) & (F.col("_upto") + F.col(f"_below_{n}") > place), F.col("_v")))
+            before = F.min(F.when(place < F.col(f"_below_{n}"), F.col(f"_before_{n}")))  # the place may be next to the bracket
+            at.append(F.coalesce(before, first, F.min(f"_behind_{n}")).alias(f"{n}_{side}"))
+    out = groups.join(joined.groupBy(*keys).agg(*at), keys)
+    between = lambda n, q: F.round(F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * ((F.col("count") - 1) * q - F.floor((F.col("count") - 1) * q)), places).alias(n)
+    return out.select(*by, "count", F.round("min", places).alias("min"), *[between(n, q) for n, q in quartiles.items()], F.round("max", places).alias("max"))
 
 
 def status_matrix(df: DataFrame, field: str, status: str, statuses: tuple[str, ...]) -> DataFrame:
