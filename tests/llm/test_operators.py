@@ -247,6 +247,38 @@ def test_audio_aligns_a_shifted_noisy_recording(spark):
     assert got[50].class_id == 2 and got[50].n_links == 0 and got[2].n_links is None
 
 
+def every_offset(a, b, votes):
+    """The plain version: bit error and shift of the best of all offsets."""
+    best = None
+    for s in range(audio.LEAST_OVERLAP - len(b), len(a) - audio.LEAST_OVERLAP + 1):
+        differ = [(int(x) ^ int(y)).bit_count() for x, y in zip(a[max(s, 0) :], b[max(-s, 0) :], strict=False)]
+        error = sum(differ) / (32.0 * len(differ))
+        runs = sum(sum(differ[i : i + audio.RUN]) <= audio.VOTE_ERRORS * 32 * audio.RUN for i in range(len(differ) - audio.RUN + 1))
+        if error <= audio.MOST_ERRORS and runs >= votes:
+            best = min(best or (2.0,), (error, abs(s), -s))
+    return best and (best[0], -best[2])
+
+
+def test_audio_links_moderate_bit_errors(spark):
+    rng = np.random.default_rng(4)
+    media = []
+    for i in range(12):  # a tune, and the same with one note in four moved by a semitone; of unequal lengths
+        values = rng.normal(0, 1 / 8, 64 - i % 3 * 7)
+        steps = np.clip(np.floor(values * 24) + 6, 0, 11).astype(int)
+        steps[i % 4 :: 4] = (steps[i % 4 :: 4] + rng.choice([-1, 1], len(steps[i % 4 :: 4]))) % 12
+        media += [(100 * i, pcm(audio.melody(list(values * 24 / 3 / len(values) ** 0.5)))), (100 * i + 1, pcm(audio._NOTES[steps].ravel()))]
+    prints = {i: audio.packed(audio.chroma(audio.pcm16(m))).view(np.uint32) for i, m in media}
+    df = audio.fingerprints(spark.createDataFrame(media, "rec long, media binary"), "media", "rec")
+    linked = audio.align(df).collect()
+    assert all(r.n_links >= 1 for r in linked if r.id % 100 == 0)
+    for votes, rows in ((audio.LEAST_VOTES, linked), (0, audio.align(df, least_votes=0).collect())):
+        got = {r.id: r for r in rows}
+        for q in (i for i in prints if i % 100 == 0):
+            want = {i: best for i, p in prints.items() if i != q and (best := every_offset(prints[q], p, votes))}
+            error, match, shift = min((e, i, s) for i, (e, s) in want.items())
+            assert q + 1 in want and (got[q].n_links, got[q].match_id, got[q].shift, got[q].bit_error) == (len(want), match, shift, error)
+
+
 def test_audio_query(spark, tmp_path):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(v) for v in rng.normal(0, 1 / 8, 64)], 0) for i in range(60)]

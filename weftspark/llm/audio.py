@@ -3,15 +3,17 @@
 A recording's samples give overlapping frames; a frame's spectrum is folded onto the 12 pitch classes.  Over the integral
 image of these frames, filters compare the sums of rectangles, as wide in time as FILTER_FRAMES and some pitch classes
 high; each filter's answer is quantised to two bits in Gray code, and the 16 filters make one packed 32-bit integer a
-frame.  Recordings are aligned by offset histograms: runs of RUN equal integers vote for the difference of their
-positions, and the bit errors over the overlap at the winning difference decide.
+frame.  Recordings are aligned over all differences of their positions: Fourier transforms count the equal bits at every
+one, and those whose overlap has few enough bit errors are verified on the integers.  There a run of RUN integers is a
+vote if at most VOTE_ERRORS of its bits differ; of the differences with LEAST_VOTES votes the one with the least bit error
+wins.  With least_votes=0 the bit errors alone decide.
 
 Recordings with the same integers are one class, named by the smallest id; alignment runs between classes, so a recording
 with many copies costs no more than one.
 
 Edge cases: a null or empty recording, or one shorter than a filter, has no integers and aligns with nothing, itself
-included in the class of such recordings; silence gives constant integers; of integers that repeat within a recording the
-first position votes; ties between offsets go to the smallest shift; rows without id are fingerprinted but are never
+included in the class of such recordings; silence gives constant integers; integers that repeat within a recording vote at
+every position; ties between offsets go to the smallest shift; rows without id are fingerprinted but are never
 queries; repeated rows are one class; an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,6 +39,12 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 RUN = 4
 #: Votes that the winning offset needs, the least overlap in frames, and the largest share of differing bits.
 LEAST_VOTES, LEAST_OVERLAP, MOST_ERRORS = 2, 16, 0.25
+#: The largest share of differing bits in a run that votes.
+VOTE_ERRORS = MOST_ERRORS / 2
+#: Bytes of integers in a block of queries and in a block of classes; of a product of two blocks' parts; of kept spectra.
+QUERY_BYTES, CLASS_BYTES, PRODUCT_BYTES, SPECTRA_BYTES = 4 << 20, 512 << 10, 8 << 20, 64 << 20
+#: Far above what single precision loses in a share of equal bits.
+SLACK = 1e-4
 
 
 def _filters() -> list[tuple[int, int, int]]:
@@ -130,45 +138,100 @@ def fingerprints(df: DataFrame, media: str, id_column: str, decode: Callable[[ob
     return df.select(F.col(id_column).alias("__id"), F.col(media).alias("__media")).mapInArrow(run, f"id {kind}, prints array<int>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of RUN integers of a class: its hash and first position."""
-    odd = np.uint64(0x9E3779B97F4A7C15)
-    for batch in batches:
-        found = []
-        for row in column(batch, "prints"):
-            wide = row.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-            n = len(wide) - RUN + 1
-            h = np.zeros(n, np.uint64)
-            for i in range(RUN):
-                h = (h ^ wide[i : i + n]) * odd
-                h ^= h >> np.uint64(31)
-            found.append(np.unique(h, return_index=True))
-        times = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-        key, pos = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        arrays = [column(batch, "class_id").take(times), column(batch, "asked").take(times), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(pos.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["class_id", "asked", "key", "pos"])
-
-
-def align(prints: DataFrame, every: int = 50) -> DataFrame:
+def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
+    """Frequencies x recordings x 32: the transform of each bit over time, as 1 and -1, and 0 behind the end."""
+    bits = np.zeros((len(prints), 32, size), np.float32)
+    for row, own in zip(bits, prints, strict=True):
+        row[:, : len(own)] = np.unpackbits(own.view(np.uint8).reshape(-1, 4), axis=1).T * np.float32(2) - 1
+    return np.ascontiguousarray(np.fft.rfft(bits).transpose(2, 0, 1))
+
+
+def best_shift(own: np.ndarray, other: np.ndarray, shifts: np.ndarray, shares: np.ndarray, least_votes: int) -> tuple[float, int] | None:
+    """Bit error and shift of the best of these shifts, whose shares (equal less differing bits) are known up to SLACK."""
+    best = None
+    for i in np.lexsort((-shifts, np.abs(shifts), -np.round(shares, 4))):
+        if best is not None and (best[0] == 0 or shares[i] + 2 * SLACK < 1 - 2 * best[0]):
+            break
+        s = int(shifts[i])
+        a, b = own[max(s, 0) :], other[max(-s, 0) :]
+        n = min(len(a), len(b))
+        differ = np.bitwise_count(a[:n] ^ b[:n]).astype(np.int64)
+        error = int(differ.sum()) / (32.0 * n)
+        if error > MOST_ERRORS or least_votes and (np.convolve(differ, np.ones(RUN, np.int64), "valid") <= VOTE_ERRORS * 32 * RUN).sum() < least_votes:
+            continue
+        best = min(best or (2.0,), (error, abs(s), -s))
+    return best and (best[0], -best[2])
+
+
+def _links(asked: list[np.ndarray], others: list[np.ndarray], least_votes: int) -> Iterator[tuple[int, int, float, int]]:
+    """(index in asked, index in others, bit error, shift) of each pair with a link; all offsets are compared."""
+    kept: dict[tuple[int, int], np.ndarray] = {}
+    by_length = [sorted(range(len(x)), key=lambda i: len(x[i])) for x in (asked, others)]
+    longest = max(len(x[o[-1]]) for x, o in zip((asked, others), by_length, strict=True))
+    step = max(1, int((PRODUCT_BYTES / (8 * longest)) ** 0.5))
+    parts = [[o[i : i + step] for i in range(0, len(o), step)] for o in by_length]
+    for there in parts[1]:
+        b, held = [others[j] for j in there], (0, None)
+        for k, here in enumerate(parts[0]):
+            a = [asked[i] for i in here]
+            least = len(a[-1]) + len(b[-1]) - LEAST_OVERLAP  # so that no offset with enough overlap meets another one
+            unit = 1 << max(1, least.bit_length() - 4)
+            size = -(-least // unit) * unit
+            if (k, size) not in kept:
+                if sum(x.nbytes for x in kept.values()) > SPECTRA_BYTES:
+                    kept.clear()
+                kept[k, size] = _spectra(a, size)
+            if held[0] != size:
+                held = size, np.conj(_spectra(b, size)).transpose(0, 2, 1)
+            product = np.matmul(kept[k, size], held[1]).reshape(size // 2 + 1, -1)
+            share = np.fft.irfft(np.ascontiguousarray(product.T), size).reshape(len(a), len(b), size)
+            shifts = np.arange(size)
+            shifts[shifts > len(a[-1]) - LEAST_OVERLAP] -= size
+            la, lb = (np.array([len(x) for x in side][: 1 if len(side[0]) == len(side[-1]) else None]) for side in (a, b))
+            overlap = np.minimum(la[:, None, None], lb[:, None] + shifts) - np.maximum(shifts, 0)
+            share *= np.where(overlap >= LEAST_OVERLAP, 1 / (32 * np.maximum(overlap, 1)), 0).astype(np.float32)
+            low = 1 - 2 * MOST_ERRORS - SLACK
+            for i, j in zip(*np.nonzero(share.max(axis=2) >= low), strict=True):
+                at = np.flatnonzero(share[i, j] >= low)
+                if (best := best_shift(a[i], b[j], shifts[at], share[i, j, at], least_votes)) is not None:
+                    yield here[i], there[j], *best
+
+
+def align(prints: DataFrame, every: int = 50, least_votes: int = LEAST_VOTES) -> DataFrame:
     """Of every row: id, prints, class_id; and for rows whose id is divisible by `every`, the alignment with other classes:
-    n_links, and the best one's match_id, shift and bit_error (null without a link)."""
+    n_links, and the best one's match_id, shift and bit_error (null without a link).
+
+    Blocks of queries meet blocks of classes, each pair of blocks at all offsets: the work is the product of their numbers.
+    """
     prints = stored(prints, "prints")
     classes = prints.groupBy("prints").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asked"))
     classes = stored(classes, "classes")
     kind = classes.schema["class_id"].dataType.simpleString()
-    keys = classes.filter(F.size("prints") >= max(RUN, LEAST_OVERLAP)).select("class_id", "asked", "prints").mapInArrow(_runs, f"class_id {kind}, asked boolean, key bigint, pos int")
-    asked = keys.filter("asked").select(F.col("class_id").alias("query"), F.col("pos").alias("at"), "key")
-    votes = asked.join(keys.select("class_id", "pos", "key"), "key").filter("query <> class_id").groupBy("query", "class_id", (F.col("at") - F.col("pos")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("query", "class_id").agg(F.max(F.struct("votes", -F.abs("shift"), "shift")).alias("best"))
-    best = best.filter(F.col("best.votes") >= LEAST_VOTES).select("query", "class_id", "best.shift")
-    sides = best.join(classes.select(F.col("class_id").alias("query"), F.col("prints").alias("own")), "query").join(classes.select("class_id", "prints"), "class_id")
-    start_own, start_other = F.greatest(F.col("shift"), F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    overlap = F.least(F.size("own") - start_own, F.size("prints") - start_other)
-    sides = sides.withColumn("overlap", overlap).filter(F.col("overlap") >= LEAST_OVERLAP)
-    pairs = F.zip_with(F.slice("own", start_own + 1, F.col("overlap")), F.slice("prints", start_other + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    errors = F.aggregate(pairs, F.lit(0), lambda n, b: n + b) / (32.0 * F.col("overlap"))
-    links = sides.select("query", "class_id", "shift", errors.alias("bit_error")).filter(F.col("bit_error") <= MOST_ERRORS)
-    found = links.groupBy("query").agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct("bit_error", "class_id", "shift")).alias("top"))
+    able = classes.filter((F.size("prints") >= LEAST_OVERLAP) & F.col("class_id").isNotNull())
+    size = F.size("prints").cast("bigint") * 4
+    total = able.agg(F.sum(F.when(F.col("asked"), size)), F.sum(size)).first()
+    q_blocks, c_blocks = max(1, -(-(total[0] or 0) // QUERY_BYTES)), max(1, -(-(total[1] or 0) // CLASS_BYTES))
+    block = lambda n: F.pmod(F.xxhash64("prints"), F.lit(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = able.select("class_id", "prints", block(c_blocks).alias("cb")).withColumn("qb", every_block(q_blocks))
+    right = able.filter("asked").select(F.col("class_id").alias("query"), "prints", block(q_blocks).alias("qb")).withColumn("cb", every_block(c_blocks))
+
+    def compare(others: pa.Table, asked: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query", others.schema.field("class_id").type), ("n_links", pa.int64()), ("bit_error", pa.float64()), ("class_id", others.schema.field("class_id").type), ("shift", pa.int32())])
+        if not others.num_rows or not asked.num_rows:
+            return kinds.empty_table()
+        names, queries = others["class_id"].to_pylist(), asked["query"].to_pylist()
+        arrays = [[row.values.to_numpy(zero_copy_only=False).view(np.uint32) for chunk in table["prints"].chunks for row in chunk] for table in (asked, others)]
+        found: dict = {}
+        for i, j, error, shift in _links(*arrays, least_votes):
+            if queries[i] != names[j]:
+                n, top = found.get(queries[i], (0, None))
+                link = error, names[j], shift
+                found[queries[i]] = n + 1, link if top is None else min(top, link)
+        return pa.Table.from_pylist([{"query": q, "n_links": n, "bit_error": top[0], "class_id": top[1], "shift": top[2]} for q, (n, top) in found.items()], schema=kinds)
+
+    links = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(compare, f"query {kind}, n_links bigint, bit_error double, class_id {kind}, shift int")
+    found = links.groupBy("query").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("bit_error", "class_id", "shift")).alias("top"))
     named = classes.select("prints", "class_id").join(found, F.col("class_id") == F.col("query"), "left")
     is_query = F.coalesce(F.col("id") % every == 0, F.lit(False))
     return prints.join(named, "prints").select(
