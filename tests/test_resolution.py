@@ -148,3 +148,18 @@ def test_structure_of_a_workbook(spark, tmp_path):
     left = structure.apply_layout(found, items, recs, chosen)
     assert [df.count() for df in left] == [1, 3, 1]
     assert structure.used_bounds(cells).first().max_row == 6 and structure.row_patterns(cells).filter("sheet_idx = 0").count() == 6
+
+
+def test_units_have_every_labelled_row_above_their_block(spark, tmp_path):
+    name = "A very long name " * 12
+    rows = [["Customer"], [name, "second cell"], ["Buyer:"], ["Bank account 1"], ["Currency", "USD"], ["plain"], [None], [None], ["No", "Item", "Size"], [1, "a", "1x2"], [2, "b", "2x2"], [None], ["delivery date 1 May"]]
+    (tmp_path / "x.xlsx").write_bytes(workbook([("pi", rows, {"merges": ["A5:A6"]})]))
+    cells = workbook_cells(spark, str(tmp_path)).cache()
+    found = structure.blocks(cells)
+    items = structure.evidence(cells, found)
+    recs = structure.records(found, items)
+    own = {r.row: r.evidence_ids for r in recs.collect()}
+    assert [len(own[r]) for r in (10, 11)] == [3, 3]
+    for unit in structure.extraction_units(found, items, recs).collect():
+        assert [(c.row, c.excerpt) for c in unit.context] == [(1, "Customer"), (2, name.strip()), (2, "second cell"), (3, "Buyer:"), (5, "Currency"), (5, "USD"), (9, "No"), (9, "Item"), (9, "Size")]
+        assert unit.evidence_ids == own[unit.row] + [c.evidence_id for c in unit.context]

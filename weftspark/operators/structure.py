@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspark.functions.text import collapse, column_letters
 from weftspark.operators.sheets import SHEET, grid, numbered_blocks, row_text
 
 EXCERPT = 80
+# Labels of order-level fields, those whose value may stand in the row below, and those of rows never taken as one.
+CONTEXT_LABELS = ("buyer", "customer", "client", "sold to", "contact person", "salesperson", "sales person", "currency", "unit price", "delivery date", "shipping date", "ship date", "客户", "买方", "业务员", "币种", "交货日期", "发货日期")
+VALUE_FOLLOWS = ("buyer", "customer", "client", "sold to", "客户", "买方")
+SENSITIVE_LABELS = ("bank", "account", "iban", "swift", "payment", "银行", "账号", "付款")
 
 
 def sparse_cells(cells: DataFrame) -> DataFrame:
@@ -39,12 +43,31 @@ def blocks(cells: DataFrame) -> DataFrame:
     return found.withColumn("scope_id", F.concat(F.lit("scope:"), short_hash(F.col("sha256"), F.col("sheet_idx"), F.col("first_row"), F.col("last_row"))))
 
 
+def shown_text() -> Column:
+    """A cell's text, or its formula where it shows none."""
+    return F.when(F.col("text") != "", F.col("text")).otherwise(F.col("formula"))
+
+
+def context_rows(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows above each block that name an order-level field, and behind one that names a party the row with its value."""
+    sparse = sparse_cells(cells).filter(F.col("anchor").isNull() | (F.col("anchor") == F.col("ref")))
+    text = collapse(shown_text())
+    parts = F.array_sort(F.collect_list(F.when(text != "", F.struct("col", text.alias("text")))))
+    rows = sparse.groupBy(*SHEET, "row").agg(F.lower(F.array_join(F.transform(parts, lambda p: p["text"]), " ")).alias("_text")).filter("_text <> ''")
+    named = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.col("_text"), w))
+    order = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(-1, -1)
+    follows = F.coalesce(F.max(named(VALUE_FOLLOWS)).over(order), F.lit(False)) & ~named(SENSITIVE_LABELS)
+    chosen = rows.withColumn("_chosen", named(CONTEXT_LABELS) | follows).filter("_chosen").select(*SHEET, "row")
+    return found.select(*SHEET, "scope_id", "first_row").join(chosen, SHEET).filter("row < first_row").select(*SHEET, "scope_id", "row")
+
+
 def evidence(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """The cells of each block's header and record rows as evidence items of the block's scope."""
+    """The cells of each block's context, header and record rows as evidence items of the block's scope."""
     sparse = sparse_cells(cells)
     inside = found.select(*SHEET, "scope_id", F.explode(F.concat("header_rows", F.sequence("first_row", "last_row"))).alias("row"))
+    inside = inside.unionByName(context_rows(cells, found)).distinct()
     items = sparse.join(inside, [*SHEET, "row"])
-    return items.select(*SHEET, "scope_id", "row", "col", "ref", F.col("text").alias("original_text"), F.lower(collapse(F.col("text"))).alias("normalized_text"), F.concat(F.lit("ev:"), short_hash(F.col("scope_id"), F.col("ref"))).alias("evidence_id"))
+    return items.select(*SHEET, "scope_id", "row", "col", "ref", shown_text().alias("original_text"), F.lower(collapse(shown_text())).alias("normalized_text"), F.concat(F.lit("ev:"), short_hash(F.col("scope_id"), F.col("ref"))).alias("evidence_id"))
 
 
 def records(found: DataFrame, items: DataFrame) -> DataFrame:
@@ -56,10 +79,12 @@ def records(found: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def extraction_units(found: DataFrame, items: DataFrame, recs: DataFrame) -> DataFrame:
-    """One unit per record: its own evidence and the header rows of its block as context, with the unit's hash."""
-    header = found.select("scope_id", F.explode("header_rows").alias("row"))
-    context = items.join(header, ["scope_id", "row"]).groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "evidence_id", F.left("original_text", F.lit(EXCERPT)).alias("excerpt")))).alias("context"))
-    units = recs.join(context, "scope_id", "left")
+    """One unit per record: the whole texts of its block's header and context rows, evidence_ids of its own cells and of
+    those, and the unit's hash."""
+    above = items.join(found.select("scope_id", "first_row"), "scope_id").filter("row < first_row")
+    context = above.groupBy("scope_id").agg(F.array_sort(F.collect_list(F.struct("row", "col", "evidence_id", F.col("original_text").alias("excerpt")))).alias("context"))
+    ids = F.array_union("evidence_ids", F.coalesce(F.transform("context", lambda c: c["evidence_id"]), F.array().cast("array<string>")))
+    units = recs.join(context, "scope_id", "left").withColumn("evidence_ids", ids)
     return units.withColumn("unit_sha256", stable_hash(F.struct("context", "evidence_ids", "record_id", "scope_id")))
 
 
@@ -71,8 +96,6 @@ def chunk_manifest(recs: DataFrame) -> DataFrame:
 
 def row_patterns(cells: DataFrame, most: int = 48) -> DataFrame:
     """Per sheet the first rows' shape: filled cells, numbers, and an excerpt of the text; a report of bounded size."""
-    from pyspark.sql import Window
-
     rows = grid(cells).withColumn("filled", F.size(F.filter("cells", lambda c: c != ""))).filter("filled > 0")
     numeric = F.size(F.filter("cells", lambda c: c.rlike(r"^\d+(\.\d+)?$")))
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))).filter(F.col("_n") <= most)
