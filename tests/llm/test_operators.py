@@ -279,6 +279,16 @@ def test_audio_links_moderate_bit_errors(spark):
             assert q + 1 in want and (got[q].n_links, got[q].match_id, got[q].shift, got[q].bit_error) == (len(want), match, shift, error)
 
 
+def test_audio_aligns_repeated_passages_and_silence(spark):
+    rng = np.random.default_rng(6)
+    x, y, z = (audio.melody(list(rng.normal(0, 1 / n**0.5, n))) for n in (30, 30, 18))
+    media = [(0, pcm(np.concatenate([x, y, x, z]))), (1, pcm(np.concatenate([x, z]))), (50, b"\0" * 40000), (51, b"\0" * 60000)]
+    df = audio.fingerprints(spark.createDataFrame(media, "rec long, media binary"), "media", "rec")
+    got = {r.id: r for r in audio.align(df).collect()}
+    assert (got[0].match_id, got[0].shift, got[0].n_links) == (1, 120, 1) and got[0].bit_error < 0.001
+    assert (got[50].match_id, got[50].shift, got[50].bit_error, got[50].n_links) == (51, 0, 0.0, 1)
+
+
 def test_audio_query(spark, tmp_path):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(v) for v in rng.normal(0, 1 / 8, 64)], 0) for i in range(60)]
