@@ -1,7 +1,8 @@
 """Operator 1: toxicity by compression distance.
 
 Texts are folded to words (lower case; anything but ASCII letters and code points from U+0080 is one space).  The
-ordinary dictionary is trained by zstandard on ordinary text.  The toxic dictionary is trained on the stretches of toxic
+ordinary dictionary is a word-frequency list: what zstandard trains on strings of the commonest ordinary words, and those
+words themselves, the commonest last; ordinary texts as such are not trained on.  The toxic dictionary is trained on the stretches of toxic
 text whose byte n-grams are significantly more frequent among toxic documents (likelihood ratio), and stands in front of
 the ordinary content, so that the two compressors differ in nothing but what toxic text adds.  Each window of a text is
 compressed with either; the gain is the bytes that the toxic dictionary saves.  The windows' gains, measured against the
