@@ -289,6 +289,17 @@ def test_audio_aligns_repeated_passages_and_silence(spark):
     assert (got[50].match_id, got[50].shift, got[50].bit_error, got[50].n_links) == (51, 0, 0.0, 1)
 
 
+def test_toxicity_windows_without_spaces():
+    phrase = "".join(chr(0x4E00 + 37 * i) for i in range(12))
+    model = toxicity.ToxicityModel(phrase.encode() * 3, b"")
+    clean = "".join(chr(0x3041 + i) for i in np.random.default_rng(3).integers(0, 80, 9000))
+    for text in (clean + phrase, clean):
+        cut = toxicity.windows(toxicity.fold(text))
+        assert max(map(len, cut)) <= toxicity.LONGEST_BYTES + 2 and "".join(w[1:-1].decode() for w in cut) == text
+    assert model.gains().of(clean + phrase).max() > 10 > model.gains().of(clean).max()
+    assert toxicity.windows(b"word " * 40 + b"x" * 30) == [b" " + w + b" " for w in (b"word " * 12 + b"word", b"word " * 12 + b"word", b"word " * 12 + b"word", b"word " + b"x" * 30)]
+
+
 def test_audio_query(spark, tmp_path):
     rng = np.random.default_rng(9)
     vectors = [(i, [float(v) for v in rng.normal(0, 1 / 8, 64)], 0) for i in range(60)]

@@ -31,6 +31,7 @@ from weftspark.llm.sampling import logistic
 
 PER_CLASS = 3000
 WINDOW_BYTES = 60
+LONGEST_BYTES = 4 * WINDOW_BYTES
 TOXIC_BYTES = 2000
 ORDINARY_BYTES = 8000
 GRAMS = (4, 5, 6)
@@ -49,13 +50,19 @@ def fold(text: str | None) -> bytes:
 
 
 def windows(folded: bytes) -> list[bytes]:
-    """Consecutive windows of WINDOW_BYTES or a little more, cut between words."""
+    """Consecutive windows of WINDOW_BYTES or a little more, cut between words; where no word ends within LONGEST_BYTES,
+    between code points."""
     out, start, n = [], 0, len(folded)
     while start < n:
         end = folded.find(b" ", start + WINDOW_BYTES)
         end = n if end < 0 else end
+        whole = end - start <= LONGEST_BYTES
+        if not whole:
+            end = start + LONGEST_BYTES
+            while folded[end] & 0xC0 == 0x80:
+                end -= 1
         out.append(b" " + folded[start:end] + b" ")
-        start = end + 1
+        start = end + whole
     return out
 
 
