@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftspark.functions.text import audit_text, clean_text, contains_any, first_case, master_text, plain_number, text_of
+from weftspark.functions.text import audit_text, clean_text, contains_any, first_case, let, master_text, plain_number, text_of
 
 # Units and the words that carry them.
 UNIT = r"(mm|cm|inches|inch|in|\")"
@@ -31,37 +31,54 @@ def _default_unit(text: Column) -> Column:
     return first_case((F.contains(low, F.lit("mm")), "mm"), (F.contains(low, F.lit("cm")), "cm"), (low.rlike(rf"{NUMBER}\s*(?:inches|inch|in|\")"), "in"), otherwise="cm")
 
 
-def extra_size(specification: Column) -> Column:
-    """'+n' in centimetres for a flap or overlap that the text gives a size for."""
-    low = F.lower(clean_text(specification))
+def _extra_size(low: Column) -> Column:
+    """extra_size of a text that is clean and in lower case."""
     # The words for the overlapping piece.
     target = r"(?:inner\s+flap|envelope\s+flap|flap|overlap(?:ping)?|tongue|重叠片|内舌)"
     named, numbered = rf"{target}\s*(?:[:：=]|with|of|is)?\s*{NUMBER}\s*{UNIT}", rf"{NUMBER}\s*{UNIT}\s*{target}"
-    size = lambda pattern: F.concat(F.lit("+"), plain_number(_centimetres(F.regexp_extract(low, pattern, 1), _unit_name(F.regexp_extract(low, pattern, 2), "cm"))))
-    return first_case((low.rlike(named), size(named)), (low.rlike(numbered), size(numbered)))
+    parts = lambda pattern: F.struct(F.regexp_extract(low, pattern, 1).alias("number"), F.regexp_extract(low, pattern, 2).alias("unit"))
+    size = lambda found: F.when(found["number"] != "", F.concat(F.lit("+"), plain_number(_centimetres(found["number"], _unit_name(found["unit"], "cm"))))).otherwise("")
+    return let(parts(named), lambda first: F.when(first["number"] != "", size(first)).otherwise(let(parts(numbered), size)))
+
+
+def extra_size(specification: Column) -> Column:
+    """'+n' in centimetres for a flap or overlap that the text gives a size for."""
+    return let(F.lower(clean_text(specification)), _extra_size)
 
 
 def order_size(size: Column, specification: Column) -> Column:
-    """length*width in centimetres with the extension, from labelled or bare numbers; the text itself without two numbers."""
-    cleaned = clean_text(size)
-    default = _default_unit(cleaned)
-
-    def labelled(letter: str, word: str) -> tuple[Column, Column]:
-        before = rf"(?i)\b(?:{letter}|{word})\s*[:=]?\s*{NUMBER}\s*{UNIT}?"
-        behind = rf"(?i){NUMBER}\s*{UNIT}?\s*(?:{letter}|{word})\b\s*{UNIT}?"
-        last = lambda pattern, group: F.element_at(F.regexp_extract_all(cleaned, F.lit(pattern), group), -1)
-        unit_behind = F.when(last(behind, 2) != "", last(behind, 2)).otherwise(last(behind, 3))
-        has = lambda pattern: cleaned.rlike(pattern)
-        number = F.when(has(before), last(before, 1)).when(has(behind), last(behind, 1))
-        return number, _unit_name(F.coalesce(F.when(has(before), last(before, 2)).otherwise(unit_behind), F.lit("")), default)
-
-    w, l = labelled("w", "width"), labelled("l", "length")
-    pair = lambda k, group: F.get(F.regexp_extract_all(cleaned, F.lit(rf"(?i){NUMBER}\s*{UNIT}?"), group), F.lit(k))
-    both = w[0].isNotNull() & l[0].isNotNull()
-    width = F.when(both, _centimetres(w[0], w[1])).otherwise(_centimetres(pair(0, 1), _unit_name(pair(0, 2), default)))
-    length = F.when(both, _centimetres(l[0], l[1])).otherwise(_centimetres(pair(1, 1), _unit_name(pair(1, 2), default)))
-    out = F.concat(plain_number(length), F.lit("*"), plain_number(width), extra_size(specification), F.lit("cm"))
-    return F.when(both | pair(1, 1).isNotNull(), out).otherwise(cleaned)
+    """length*width in centimetres with the extension, from labelled or bare numbers; the text itself without two numbers.
+
+    Each pattern is applied once: what it finds is bound to a name, and the rest only chooses among what was found.
+    """
+
+    def found(cleaned: Column) -> Column:
+        fields = [cleaned.alias("text"), _default_unit(cleaned).alias("unit")]
+        for letter, word in (("w", "width"), ("l", "length")):
+            before = F.lit(rf"(?i)\b(?:{letter}|{word})\s*[:=]?\s*{NUMBER}\s*{UNIT}?")
+            behind = F.lit(rf"(?i){NUMBER}\s*{UNIT}?\s*(?:{letter}|{word})\b\s*{UNIT}?")
+            for place, pattern, most in (("before", before, 2), ("behind", behind, 3)):
+                fields += [F.try_element_at(F.regexp_extract_all(cleaned, pattern, F.lit(k)), F.lit(-1)).alias(f"{letter}_{place}_{k}") for k in range(1, most + 1)]
+        bare = F.lit(rf"(?i){NUMBER}\s*{UNIT}?")
+        fields += [F.regexp_extract_all(cleaned, bare, F.lit(k)).alias(f"bare_{k}") for k in (1, 2)]
+        return F.struct(*fields)
+
+    def labelled(s: Column, letter: str) -> Column:
+        number = F.coalesce(s[f"{letter}_before_1"], s[f"{letter}_behind_1"])
+        behind = F.when(s[f"{letter}_behind_2"] != "", s[f"{letter}_behind_2"]).otherwise(s[f"{letter}_behind_3"])
+        unit = F.when(s[f"{letter}_before_1"].isNotNull(), s[f"{letter}_before_2"]).otherwise(behind)
+        return _centimetres(number, _unit_name(F.coalesce(unit, F.lit("")), s["unit"]))
+
+    def bare(s: Column, k: int) -> Column:
+        return _centimetres(F.get(s["bare_1"], F.lit(k)), _unit_name(F.coalesce(F.get(s["bare_2"], F.lit(k)), F.lit("")), s["unit"]))
+
+    def chosen(s: Column) -> Column:
+        both = labelled(s, "w").isNotNull() & labelled(s, "l").isNotNull()
+        sides = F.when(both, F.struct(labelled(s, "l").alias("length"), labelled(s, "w").alias("width"))).otherwise(F.struct(bare(s, 1).alias("length"), bare(s, 0).alias("width")))
+        written = lambda z: F.concat(plain_number(z["length"]), F.lit("*"), plain_number(z["width"]), extra_size(specification), F.lit("cm"))
+        return let(sides, lambda z: F.when(z["length"].isNotNull(), written(z)).otherwise(s["text"]))
+
+    return let(clean_text(size), lambda cleaned: let(found(cleaned), chosen))
 
 
 def order_color(text: Column) -> Column:
@@ -72,17 +89,20 @@ def order_color(text: Column) -> Column:
 
 def order_composition(text: Column) -> Column:
     """100C or Cn/Tm, '' if the text has no cotton share."""
-    low = F.replace(F.lower(clean_text(text)), F.lit("％"), F.lit("%"))
-    compact = F.replace(low, F.lit(" "), F.lit(""))
     # The ways in which a share is written.
     pure = r"100\s*%\s*cott?on|100\s*%\s*ring\s*spun\s*cott?on|100\s*%c|100%c"
     named = r"(\d{1,3})\s*%\s*cotton\s*[/, ]+\s*(\d{1,3})\s*%\s*poly(?:ester)?"
     slashed = r"(\d{1,3})\s*/\s*(\d{1,3})\s*cotton\s*/\s*poly"
-    share = lambda pattern: F.concat(F.lit("C"), F.regexp_extract(low, pattern, 1).cast("int"), F.lit("/T"), F.regexp_extract(low, pattern, 2).cast("int"))
-    return first_case(
-        (low.rlike(pure), "100C"), (low.rlike(named), share(named)), (low.rlike(slashed), share(slashed)),
-        (contains_any(compact, ("80/20cotton/poly", "c80/t20")), "C80/T20"), (contains_any(compact, ("50/50cotton/poly", "c50/t50")), "C50/T50"),
-    )
+
+    def written(low: Column) -> Column:
+        compact = F.replace(low, F.lit(" "), F.lit(""))
+        share = lambda pattern: F.concat(F.lit("C"), F.regexp_extract(low, pattern, 1).cast("int"), F.lit("/T"), F.regexp_extract(low, pattern, 2).cast("int"))
+        return first_case(
+            (low.rlike(pure), "100C"), (low.rlike(named), share(named)), (low.rlike(slashed), share(slashed)),
+            (contains_any(compact, ("80/20cotton/poly", "c80/t20")), "C80/T20"), (contains_any(compact, ("50/50cotton/poly", "c50/t50")), "C50/T50"),
+        )
+
+    return let(F.replace(F.lower(clean_text(text)), F.lit("％"), F.lit("%")), written)
 
 
 def order_fabric(text: Column) -> Column:
@@ -104,7 +124,10 @@ HAND_HOLE = r"\bhands?\s+holes?\b|\bhand\s+holds?\b"
 
 def order_style(text: Column) -> Column:
     """The style's standard name from closure, flange, pocket or envelope and hand hole; '' without pocket or envelope."""
-    low = F.lower(clean_text(text))
+    return let(F.lower(clean_text(text)), _style_name)
+
+
+def _style_name(low: Column) -> Column:
     # The words for each feature and the names they make up.
     bag = low.rlike(r"\bbag\b|\bopen bag\b")
     envelope = F.contains(low, F.lit("envelope")) | (F.contains(low, F.lit("flap")) & ~bag)
@@ -145,9 +168,12 @@ def order_note(text: Column) -> Column:
 
 def master_number(value: Column) -> Column:
     """Two places, but a whole number where one is nearer than 0.02."""
-    rounded = F.bround(value, 2)
-    whole = F.bround(rounded, 0)
-    return F.when(F.abs(rounded - whole) < 0.02, whole.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", rounded), r"\.?0+$", ""))
+
+    def written(n: Column) -> Column:
+        near = F.abs(n["rounded"] - n["whole"]) < 0.02
+        return F.when(near, n["whole"].cast("bigint").cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", n["rounded"]), r"\.?0+$", ""))
+
+    return let(F.bround(value, 2), lambda rounded: let(F.struct(rounded.alias("rounded"), F.bround(rounded, 0).alias("whole")), written))
 
 
 def master_category(name: Column) -> Column:
@@ -157,31 +183,39 @@ def master_category(name: Column) -> Column:
 def master_spec(value: Column) -> Column:
     """a*b in centimetres in the written order, with a structural extension; the text itself where no size is in it."""
     unit = r"(cm|mm|inch|in|\")?"
-    text = F.regexp_replace(F.regexp_replace(audit_text(value), "[×x]", "*"), r"(?U)\s+", "")
-    size = rf"{NUMBER}{unit}\*{NUMBER}{unit}"
-    extension = rf"\+{NUMBER}{unit}"
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
-    shared = _unit_name(F.when(part(size, 2) != "", part(size, 2)).otherwise(part(size, 4)), "cm")
-    number = lambda k: master_number(_centimetres(part(size, k), shared))
-    more = F.when(text.rlike(extension), F.concat(F.lit("+"), master_number(_centimetres(part(extension, 1), _unit_name(part(extension, 2), "cm"))), F.lit("cm"))).otherwise("")
-    return F.when(text.rlike(size), F.concat(number(1), F.lit("*"), number(3), F.lit("cm"), more)).otherwise(F.regexp_replace(master_text(value), "[×Xx]", "*"))
+    size, extension = rf"{NUMBER}{unit}\*{NUMBER}{unit}", rf"\+{NUMBER}{unit}"
+
+    def found(text: Column) -> Column:
+        sides = [F.regexp_extract(text, size, k).alias(f"size_{k}") for k in (1, 2, 3, 4)]
+        return F.struct(*sides, *[F.regexp_extract(text, extension, k).alias(f"more_{k}") for k in (1, 2)])
+
+    def written(s: Column) -> Column:
+        shared = _unit_name(F.when(s["size_2"] != "", s["size_2"]).otherwise(s["size_4"]), "cm")
+        number = lambda k: master_number(_centimetres(s[f"size_{k}"], shared))
+        more = F.when(s["more_1"] != "", F.concat(F.lit("+"), master_number(_centimetres(s["more_1"], _unit_name(s["more_2"], "cm"))), F.lit("cm"))).otherwise("")
+        return F.when(s["size_1"] != "", F.concat(number(1), F.lit("*"), number(3), F.lit("cm"), more))
+
+    plain = F.regexp_replace(F.regexp_replace(audit_text(value), "[×x]", "*"), r"(?U)\s+", "")
+    return F.coalesce(let(let(plain, found), written), F.regexp_replace(master_text(value), "[×Xx]", "*"))
 
 
 def master_color(value: Column) -> Column:
-    raw = master_text(value)
-    low = F.lower(raw)
-    # The approved colours and the words for them.
-    return first_case(
-        (raw.isin("本白", "本白色"), "漂白色"),
-        (raw.isin("漂白色", "浅灰色", "深灰色", "灰色", "蓝色", "米色"), raw),
-        (low.rlike(r"(?U)\blight\s+gr[ae]y\b|浅灰"), "浅灰色"),
-        (low.rlike(r"(?U)\bdark\s+gr[ae]y\b|深灰"), "深灰色"),
-        (low.rlike(r"(?U)\bplain\s+white\b|\bwhite\b|漂白"), "漂白色"),
-        (low.rlike(r"(?U)\bgr[ae]y\b|灰"), "灰色"),
-        (low.rlike(r"(?U)\bbeige\b|米"), "米色"),
-        (low.rlike(r"(?U)\bblue\b|蓝"), "蓝色"),
-        otherwise=raw,
-    )
+    def named(raw: Column) -> Column:
+        low = F.lower(raw)
+        # The approved colours and the words for them.
+        return first_case(
+            (raw.isin("本白", "本白色"), "漂白色"),
+            (raw.isin("漂白色", "浅灰色", "深灰色", "灰色", "蓝色", "米色"), raw),
+            (low.rlike(r"(?U)\blight\s+gr[ae]y\b|浅灰"), "浅灰色"),
+            (low.rlike(r"(?U)\bdark\s+gr[ae]y\b|深灰"), "深灰色"),
+            (low.rlike(r"(?U)\bplain\s+white\b|\bwhite\b|漂白"), "漂白色"),
+            (low.rlike(r"(?U)\bgr[ae]y\b|灰"), "灰色"),
+            (low.rlike(r"(?U)\bbeige\b|米"), "米色"),
+            (low.rlike(r"(?U)\bblue\b|蓝"), "蓝色"),
+            otherwise=raw,
+        )
+
+    return let(master_text(value), named)
 
 
 def _upper(value: Column) -> Column:
@@ -194,13 +228,18 @@ def master_yarn(value: Column) -> Column:
 
 def master_density(value: Column) -> Column:
     """Tn for a thread count; a construction with a star stays."""
-    text = _upper(value)
-    pattern = r"(?:T|TC)?\s*(\d{2,4})"
-    return F.when(text.rlike(pattern) & ~F.contains(text, F.lit("*")), F.concat(F.lit("T"), F.regexp_extract(text, pattern, 1).cast("int"))).otherwise(F.regexp_replace(text, r"(?U)\s+", ""))
+
+    def written(text: Column) -> Column:
+        count = F.regexp_extract(text, r"(?:T|TC)?\s*(\d{2,4})", 1)
+        return F.when((count != "") & ~F.contains(text, F.lit("*")), F.concat(F.lit("T"), count.cast("int"))).otherwise(F.regexp_replace(text, r"(?U)\s+", ""))
+
+    return let(_upper(value), written)
 
 
 def master_composition(value: Column) -> Column:
-    text = F.replace(F.upper(master_text(value)), F.lit(" "), F.lit(""))
-    cotton, poly = r"C(\d{1,3})/?T(\d{1,3})", r"T(\d{1,3})/?C(\d{1,3})"
-    share = lambda pattern, c, t: F.concat(F.lit("C"), F.regexp_extract(text, pattern, c).cast("int"), F.lit("/T"), F.regexp_extract(text, pattern, t).cast("int"))
-    return first_case((text.isin("C100", "100C", "100%C", "100%棉"), "C100"), (text.rlike(cotton), share(cotton, 1, 2)), (text.rlike(poly), share(poly, 2, 1)), otherwise=text)
+    def written(text: Column) -> Column:
+        cotton, poly = r"C(\d{1,3})/?T(\d{1,3})", r"T(\d{1,3})/?C(\d{1,3})"
+        share = lambda pattern, c, t: F.concat(F.lit("C"), F.regexp_extract(text, pattern, c).cast("int"), F.lit("/T"), F.regexp_extract(text, pattern, t).cast("int"))
+        return first_case((text.isin("C100", "100C", "100%C", "100%棉"), "C100"), (text.rlike(cotton), share(cotton, 1, 2)), (text.rlike(poly), share(poly, 2, 1)), otherwise=text)
+
+    return let(F.replace(F.upper(master_text(value)), F.lit(" "), F.lit("")), written)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -83,6 +84,11 @@ def first_case(*cases: tuple[Column, str | Column], otherwise: str | Column = ""
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ellipsis(text: Column, limit: int = 180) -> Column:
     """At most limit characters, the last one a mark of omission where something is left out."""
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
