@@ -6,23 +6,27 @@ Of a text that several documents hold only the smallest id takes part; its copie
 suffix of the rest would shuffle many times the input, so the suffixes that are sorted are those at anchors: in any
 LENGTH-byte string the least hash among its GRAM-byte grams is an anchor, so equal strings have equal anchors.
 
-1. anchors: each group of documents finds its anchors and deals out their hashes, packed, one for each group and hash.
-2. repeats: buckets of hashes tell which anchors occur in several documents.
-3. suffixes: around those anchors the LENGTH bytes from the anchor and what a string may hold before it are cut out.
-   Equal ones meet within the group; all but the smallest document's are resolved there.  The others are
-   range-partitioned by their leading bytes between splitters taken from a sample of anchors.
+1. anchors: each group of documents finds its anchors and deals out their hashes, packed, one for each group and hash; where
+   there are so many buckets that a group would send each of them next to nothing, they are dealt in two levels.
+2. repeats: buckets of hashes tell the groups which of them other groups have too, and which very many groups have.
+3. suffixes: around the anchors that several documents have, the LENGTH bytes from the anchor and what a string may hold
+   before it are cut out, once for each document and surroundings however often they repeat in it.  Equal ones meet within
+   the group; all but the smallest document's are resolved there.  The others are range-partitioned by their leading bytes
+   between splitters taken from a sample of anchors.
 4. buckets sort their suffixes by multikey quicksort over 8-byte tokens, resolve equal ones, and sort the strings that
    start before the anchor likewise where different surroundings share an anchor.  Splitters never part suffixes that
    agree in their leading bytes, and those bytes are fewer than a gram, so the last suffix of a bucket and the first of
    the next have no string in common: the comparison across boundaries is decided by the splitters themselves.
+   An anchor that more than HOT_GROUPS groups have would make such a bucket grow without bound: its strings are cut out one
+   by one, equal ones meet within the group first, and the rest is dealt by the hash of the string.
 5. spans go back to their documents, are merged and cut.
 
-All tables between the steps hold packed arrays per pair of task and bucket.  Hot passages are resolved within the
-groups first, so a bucket gets one suffix of each from every group at most.
+All tables between the steps hold packed arrays per pair of task and bucket.  Copies and repeated passages are resolved
+within the groups first, so a bucket gets one of each from every group at most.
 
 Edge cases: a null text is empty; texts shorter than LENGTH lose nothing; rows without id lose nothing and no row loses
-anything to them; rows that repeat an id are not smaller than one another, and each gets its own result; an empty table
-gives an empty result; other columns are not read.
+anything to them; rows that repeat an id are not smaller than one another, and each gets its own result; long runs of one
+byte or of a short period are one suffix each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,13 +50,23 @@ LEAD = 16  # leading bytes that splitters compare; fewer than GRAM
 GROUP_BYTES, GROUP_BYTES_MOST = 4 << 20, 64 << 20
 BUCKET_ANCHORS = 1_000_000
 RANGE_BYTES = 12 << 20
-#: Documents whose anchors give the splitters.
-SAMPLED_DOCUMENTS = 2000
+#: Buckets that a group deals its hashes to; beyond, there are two levels, the first one of so many.
+DIRECT_BUCKETS, COARSE_BUCKETS = 16_384, 2_048
+#: Groups that share an anchor, beyond which its strings are dealt one by one.
+HOT_GROUPS = 4_000
+#: Documents whose anchors give the splitters, and about how many anchors they give.
+SAMPLED_DOCUMENTS, SAMPLED_ANCHORS = 2_000, 50_000
+#: Rows over which the copies of one text are spread when their first one is looked up.
+SALTS = 8
+#: Rows that a multikey quicksort hands to a plain sort.
+SMALL = 64
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-_RECORD = np.dtype([("doc", "<i8"), ("part", "<u4"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", REACH + LENGTH)])
-_SPAN = np.dtype([("doc", "<i8"), ("part", "<u4"), ("start", "<u4"), ("end", "<u4")])
-_PLACE = np.dtype([("doc", "<i8"), ("pos", "<u4")])
+_RECORD = np.dtype([("doc", "<i8"), ("part", "<u4"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("multi", "u1"), ("bytes", "u1", REACH + LENGTH)])
+_STRING = np.dtype([("doc", "<i8"), ("part", "<u4"), ("pos", "<u4"), ("multi", "u1"), ("bytes", "u1", LENGTH)])
+_SPAN = np.dtype([("doc", "<i8"), ("part", "<u4"), ("start", "<u4"), ("end", "<u4"), ("multi", "u1")])
+_HASH = np.dtype([("h", "<u8"), ("g", "<i8")])
+_REPEAT = np.dtype([("h", "<u8"), ("hot", "u1")])
 _BUCKET_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
@@ -108,29 +123,50 @@ def _slide(x: np.ndarray, best: np.ufunc) -> np.ndarray:
 def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of tokens (n x q, compared from the left) and, along it, the number of each row's class of equals.
 
-    Multikey quicksort, level by level: all rows are split by their first token, then only rows whose class is not yet
-    single are split by the next one.
+    Multikey quicksort: a run of rows that agree in the tokens before `depth` is split by a pivot among the tokens there into
+    smaller, equal and larger ones; the equal ones go on with the next token.  All runs are split at once, round by round;
+    runs of SMALL rows are left to a plain sort at the end.
     """
-    n = len(tokens)
-    order = np.arange(n)
-    classes = np.zeros(n, np.int64)
-    open_ = np.arange(n)
-    for level in range(tokens.shape[1]):
-        if not len(open_):
+    n, q = tokens.shape
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    start, size, depth = np.array([0]), np.array([n]), np.array([0])
+    small: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        open_ = (size > 1) & (depth < q)
+        few = open_ & (size <= SMALL)
+        small.append((start[few], size[few]))
+        start, size, depth = (x[open_ & ~few] for x in (start, size, depth))
+        if not len(start):
             break
-        rows = order[open_]
-        token = tokens[rows, level]
-        rank = np.lexsort((token, classes[open_]))
-        rows, token, group = rows[rank], token[rank], classes[open_]
-        order[open_] = rows
-        new = np.r_[False, (token[1:] != token[:-1]) | (group[1:] != group[:-1])] if len(rows) else np.zeros(0, bool)
-        starts = np.ones(n, bool)
-        starts[1:] = classes[1:] != classes[:-1]
-        starts[open_] |= new
-        classes = np.cumsum(starts) - 1
-        sizes = np.bincount(classes)
-        open_ = np.flatnonzero(sizes[classes] > 1)
-    return order, classes
+        run, at = _spread(start, size)
+        token = tokens[order[at], depth[run]]
+        first = np.cumsum(size) - size
+        three = np.sort(np.stack([token[first], token[first + size // 2], token[first + size - 1]]), axis=0)
+        pivot = three[1][run]
+        side = 3 * run + (token > pivot) + (token >= pivot)  # smaller, equal, larger
+        order[at] = order[at][np.argsort(side, kind="stable")]
+        counts = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3)
+        starts = start[:, None] + np.cumsum(counts, axis=1) - counts
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        start, size = starts.ravel(), counts.ravel()
+        new[start[size > 0]] = True
+    start, size = (np.concatenate(x) for x in zip(*small, strict=True))
+    if len(start):
+        run, at = _spread(start, size)
+        rows = order[at]
+        rank = np.lexsort((*(tokens[rows, k] for k in reversed(range(q))), run))
+        rows = rows[rank]
+        order[at] = rows
+        differ = np.r_[True, (tokens[rows[1:]] != tokens[rows[:-1]]).any(axis=1) | (run[1:] != run[:-1])]
+        new[at] = differ
+    return order, np.cumsum(new) - 1
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of so many places from these starts: each place and the number of its run."""
+    run = np.repeat(np.arange(len(start)), size)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + start[run]
 
 
 def _tokens(strings: np.ndarray) -> np.ndarray:
@@ -151,28 +187,45 @@ def _least(values: np.ndarray, order: np.ndarray, classes: np.ndarray) -> np.nda
     return out
 
 
-def _equal(records: np.ndarray) -> np.ndarray:
-    """The smallest document among the records with the same surroundings as each."""
-    key = np.concatenate([records["bytes"], records["left"][:, None], records["right"][:, None]], axis=1)
+def _once(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the records with the same surroundings in the same document, marked if there are more, and beside each the
+    smallest document with these surroundings."""
+    names = [f for f in ("bytes", "left", "right") if f in records.dtype.names]
+    key = np.concatenate([records[f].reshape(len(records), -1) for f in names], axis=1)
     order, classes = multikey_sort(_tokens(key))
-    return _least(records["doc"], order, classes)
+    ranked = records[order]
+    order = np.lexsort((ranked["pos"], ranked["part"], ranked["doc"], classes))
+    ranked, classes = ranked[order], classes[order]
+    new = np.r_[True, (classes[1:] != classes[:-1]) | (ranked["doc"][1:] != ranked["doc"][:-1]) | (ranked["part"][1:] != ranked["part"][:-1])]
+    starts = np.flatnonzero(new)
+    out = ranked[starts].copy()
+    out["multi"] |= np.diff(np.r_[starts, len(ranked)]) > 1
+    classes = classes[starts]
+    return out, _least(out["doc"], np.arange(len(out)), classes)
+
+
+def _spans(records: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(records), _SPAN)
+    for f in ("doc", "part", "multi"):
+        out[f] = records[f]
+    out["start"], out["end"] = start, end
+    return out
 
 
 def _whole(records: np.ndarray) -> np.ndarray:
     """Spans of all strings around the anchors."""
-    out = np.zeros(len(records), _SPAN)
-    ok = records["left"].astype(np.int64) + records["right"] >= LENGTH
-    for f in ("doc", "part"):
-        out[f] = records[f]
-    out["start"] = records["pos"] - records["left"]
-    out["end"] = records["pos"] + records["right"]
-    return out[ok]
+    left, right, pos = (records[f].astype(np.int64) for f in ("left", "right", "pos"))
+    return _spans(records, pos - left, pos + right)[left + right >= LENGTH]
 
 
 def _joined(spans: np.ndarray) -> np.ndarray:
-    """Spans with overlaps within a document merged."""
+    """Spans with overlaps within a document merged; those that stand for more of their kind stay apart."""
     if not len(spans):
         return spans
+    several = np.unique(spans[spans["multi"] > 0])
+    spans = spans[spans["multi"] == 0]
+    if not len(spans):
+        return several
     spans = spans[np.lexsort((spans["start"], spans["part"], spans["doc"]))]
     owner = np.r_[True, (spans["doc"][1:] != spans["doc"][:-1]) | (spans["part"][1:] != spans["part"][:-1])]
     number = np.cumsum(owner) - 1
@@ -181,6 +234,23 @@ def _joined(spans: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(first)
     out = spans[at].copy()
     out["end"] = reach[np.r_[at[1:] - 1, len(spans) - 1]]
+    return np.concatenate([out, several])
+
+
+def _expanded(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The merged byte ranges of one text; a span that stands for more of its kind is searched for in the whole text."""
+    found = [(a, b) for a, b, several in spans if not several]
+    for pattern in {raw[a:b] for a, b, several in spans if several}:
+        at = raw.find(pattern)
+        while at >= 0:
+            found.append((at, at + len(pattern)))
+            at = raw.find(pattern, at + 1)
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
@@ -188,40 +258,46 @@ def resolve(records: np.ndarray) -> np.ndarray:
     """All spans that a bucket's suffixes give."""
     if not len(records):
         return np.zeros(0, _SPAN)
-    least = _equal(records)
+    records, least = _once(records)
     later = records["doc"] > least
     found = [_whole(records[later])]
     rest = records[~later]
     gram_order, grams = multikey_sort(_tokens(rest["bytes"][:, REACH : REACH + GRAM]))
-    gram = np.empty(len(rest), np.int64)
-    gram[gram_order] = grams
     # different surroundings of one anchor: compare the strings that start 0, 1, ... bytes before it
     docs_low = _least(rest["doc"], gram_order, grams)
     docs_high = -_least(-rest["doc"], gram_order, grams)
-    mixed = np.flatnonzero(docs_low != docs_high)
-    rest = rest[mixed]
+    rest = rest[docs_low != docs_high]
     for before in range(REACH + 1):
-        fits = np.flatnonzero((rest["left"] >= before) & (rest["right"] >= LENGTH - before))
-        if len(fits) < 2:
-            continue
-        strings = rest["bytes"][fits][:, REACH - before : REACH - before + LENGTH]
-        order, classes = multikey_sort(_tokens(strings))
-        hit = fits[rest["doc"][fits] > _least(rest["doc"][fits], order, classes)]
-        spans = np.zeros(len(hit), _SPAN)
-        for f in ("doc", "part"):
-            spans[f] = rest[f][hit]
-        spans["start"] = rest["pos"][hit] - before
-        spans["end"] = rest["pos"][hit] - before + LENGTH
-        found.append(spans)
+        found.append(resolve_strings(_strings(rest, before)))
     return _joined(np.concatenate(found))
 
 
-def _texts(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Id, 32 bits of the text's digest and bytes of each row."""
+def _strings(records: np.ndarray, before: int) -> np.ndarray:
+    """The strings that start so many bytes before the anchor, as far as the text has them."""
+    fits = np.flatnonzero((records["left"] >= before) & (records["right"] >= LENGTH - before))
+    out = np.zeros(len(fits), _STRING)
+    for f in ("doc", "part", "multi"):
+        out[f] = records[f][fits]
+    out["pos"] = records["pos"][fits] - before
+    out["bytes"] = records["bytes"][fits][:, REACH - before : REACH - before + LENGTH]
+    return out
+
+
+def resolve_strings(strings: np.ndarray) -> np.ndarray:
+    """Spans of the strings that a smaller document has too."""
+    if len(strings) < 2:
+        return np.zeros(0, _SPAN)
+    order, classes = multikey_sort(_tokens(strings["bytes"]))
+    hit = strings[strings["doc"] > _least(strings["doc"], order, classes)]
+    return _spans(hit, hit["pos"], hit["pos"] + LENGTH)
+
+
+def _texts(table: pa.Table) -> Iterator[tuple[int, str, np.ndarray]]:
+    """Id, digest and bytes of each row."""
     for batch in table.to_batches():
         raw, offs = utf8(column(batch, "text"))
         for doc, digest, a, b in zip(column(batch, "doc").to_pylist(), column(batch, "digest").to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            yield doc, int(digest[:8], 16), raw[a:b]
+            yield doc, digest, raw[a:b]
 
 
 def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -245,173 +321,204 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     """doc_id, n_bytes, spans (array of removed byte ranges: start, end) and kept (binary) of every row."""
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n_docs = plain.agg(F.sum(F.octet_length("text")), F.count("doc")).first()
+    total = total or 0
     group_bytes = min(GROUP_BYTES_MOST, max(GROUP_BYTES, total // 2000))
     groups = max(1, -(-total // group_bytes))
     buckets = max(1, total // (13 * BUCKET_ANCHORS))
     ranges = max(1, total // RANGE_BYTES)
     group = F.pmod(F.xxhash64("doc"), F.lit(groups))
     rows = plain.filter("doc is not null").select("doc", "text", F.md5(F.col("text").cast("binary")).alias("digest"), group.alias("g"))
-    ids = rows.select("doc", "digest").distinct()
-    firsts = ids.groupBy("digest").agg(F.min("doc").alias("first"))
-    owners = ids.join(firsts, "digest").select(F.col("doc").alias("own"), F.col("digest").alias("own_digest"), "first", group.alias("own_g"))
-
-    def first_of(table: pa.Table) -> dict[tuple[int, str], int]:
-        return dict(zip(zip(table["own"].to_pylist(), table["own_digest"].to_pylist(), strict=True), table["first"].to_pylist(), strict=True))
-
-    def find_anchors(texts: pa.Table, owned: pa.Table) -> pa.Table:
-        first, done, places, hashes = first_of(owned), set(), [], []
-        digests = texts["digest"].to_pylist()
-        for i, (doc, part, raw) in enumerate(_texts(texts)):
-            key = (doc, digests[i])
-            if first[key] != doc or key in done:
-                continue
-            done.add(key)
-            at, h = anchors(raw)
-            place = np.zeros(len(at), _PLACE)
-            place["doc"], place["pos"] = doc, at
-            places.append(place)
-            hashes.append(h >> np.uint64(16))
-        if not places:
-            return _blobs([])
-        place, h = np.concatenate(places), np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
-        place, h = place[order], h[order]
-        runs = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        number = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1 if len(h) else np.zeros(0, np.int64)
-        several = (np.minimum.reduceat(place["doc"], runs) != np.maximum.reduceat(place["doc"], runs)) if len(h) else np.zeros(0, bool)
-        local = place[several[number]] if len(h) else place
-        sent = ~several[number] if len(h) else np.zeros(0, bool)
-        if len(h):
-            sent[runs] = True
-        out = np.zeros(int(sent.sum()), np.dtype([("h", "<u8"), *_PLACE.descr]))
-        out["h"], out["doc"], out["pos"] = h[sent], place["doc"][sent], place["pos"][sent]
-        dealt = _deal(out, (out["h"] % np.uint64(buckets)).astype(np.int64), 0)
-        if len(local):
-            dealt.append((buckets + int(texts["g"][0].as_py()), 1, _pack(local)))
-        return _blobs(dealt)
-
-    record = np.dtype([("h", "<u8"), *_PLACE.descr])
-
-    def find_repeats(table: pa.Table) -> pa.Table:
-        kinds, blobs, key = table["kind"].to_pylist(), table["blob"].to_pylist(), int(table["bucket"][0].as_py())
-        if kinds[0] == 1:  # what a group found out by itself
-            return _blobs([(key - buckets, 1, b) for b in blobs])
-        all_ = np.concatenate([_unpack(b, record) for b in blobs])
-        all_ = all_[np.argsort(all_["h"], kind="stable")]
-        runs = np.flatnonzero(np.r_[True, all_["h"][1:] != all_["h"][:-1]])
-        several = np.minimum.reduceat(all_["doc"], runs) != np.maximum.reduceat(all_["doc"], runs)
-        keep = np.repeat(several, np.diff(np.r_[runs, len(all_)]))
-        place = np.zeros(int(keep.sum()), _PLACE)
-        place["doc"], place["pos"] = all_["doc"][keep], all_["pos"][keep]
-        return _blobs(_deal(place, group_of(place["doc"]), 1))
+    copies = _copies(rows).select("own", "own_digest", F.lit(None).cast("binary").alias("blob"), F.pmod(F.xxhash64("own"), F.lit(groups)).alias("own_g"))
+    splitters = _splitters(plain.filter("doc is not null").select("doc", "text"), n_docs, total, ranges)
 
     def group_of(ids_: np.ndarray) -> np.ndarray:
         own, which = np.unique(ids_, return_inverse=True)
         return np.fromiter((_spark_hash(d) % groups for d in own.tolist()), np.int64, len(own))[which]
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offs = utf8(column(batch, "text"))
-            found = []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                at, h = anchors(raw[a:b])
-                found += [raw[a + p : a + p + LEAD].tobytes() for p in at[h % np.uint64(16) == 0].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["lead"])
-
-    leads = np.zeros(0, f"S{LEAD}")
-    if ranges > 1:
-        share = max(1, plain.filter("doc is not null").count() // SAMPLED_DOCUMENTS)
-        sampled = plain.filter("doc is not null").filter(F.pmod(F.xxhash64(F.lit(1), "doc"), F.lit(share)) == 0).select("text").mapInArrow(lead, "lead binary").toPandas()["lead"]
-        leads = np.sort(np.array([bytes(x) for x in sampled], f"S{LEAD}"))
-    splitters = np.unique(leads[np.linspace(0, len(leads) - 1, ranges + 1).astype(int)[1:-1]]) if len(leads) else leads
+    def find_anchors(texts: pa.Table, known: pa.Table) -> pa.Table:
+        hashes = [h for *_, h in _anchored(texts, known)]
+        if not hashes:
+            return _blobs([])
+        h = np.unique(np.concatenate(hashes))
+        out = np.zeros(len(h), _HASH)
+        out["h"], out["g"] = h, texts["g"][0].as_py()
+        if buckets <= DIRECT_BUCKETS:
+            return _blobs(_deal(out, (h % np.uint64(buckets)).astype(np.int64), 0))
+        # a first bucket is a coarse one for some of the groups
+        part = int(out["g"][0]) % -(-buckets // COARSE_BUCKETS)
+        return _blobs(_deal(out, (h % np.uint64(COARSE_BUCKETS)).astype(np.int64) + COARSE_BUCKETS * part, 0))
+
+    def deal_again(table: pa.Table) -> pa.Table:
+        out = np.concatenate([_unpack(b, _HASH) for b in table["blob"].to_pylist()])
+        fine = np.uint64(-(-buckets // COARSE_BUCKETS))
+        coarse, own = out["h"] % np.uint64(COARSE_BUCKETS), out["h"] // np.uint64(COARSE_BUCKETS) % fine
+        return _blobs(_deal(out, (coarse * fine + own).astype(np.int64), 0))
 
-    def cut_suffixes(texts: pa.Table, repeats: pa.Table) -> pa.Table:
-        if not repeats.num_rows or not texts.num_rows:
+    def find_repeats(table: pa.Table) -> pa.Table:
+        all_ = np.concatenate([_unpack(b, _HASH) for b in table["blob"].to_pylist()])
+        all_ = all_[np.argsort(all_["h"], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, all_["h"][1:] != all_["h"][:-1]])
+        count = np.diff(np.r_[starts, len(all_)])
+        count = np.repeat(count, count)
+        out = np.zeros(int((count > 1).sum()), _REPEAT)
+        out["h"], out["hot"] = all_["h"][count > 1], count[count > 1] > HOT_GROUPS
+        return _blobs(_deal(out, all_["g"][count > 1], 0))
+
+    def cut_suffixes(texts: pa.Table, known: pa.Table) -> pa.Table:
+        blobs = [b for b in known["blob"].to_pylist() if b is not None]
+        elsewhere = np.concatenate([_unpack(b, _REPEAT) for b in blobs]) if blobs else np.zeros(0, _REPEAT)
+        elsewhere = elsewhere[np.argsort(elsewhere["h"])]
+        found = list(_anchored(texts, known))
+        if not found:
             return _blobs([])
-        place = np.unique(np.concatenate([_unpack(b, _PLACE) for b in repeats["blob"].to_pylist()]))
-        where = {int(place["doc"][a]): place["pos"][a:b].astype(np.int64) for a, b in _runs(np.r_[True, place["doc"][1:] != place["doc"][:-1]], len(place))}
-        made, done = [], set()
-        reach = np.arange(-REACH, LENGTH)
-        for doc, part, raw in _texts(texts):
-            if doc not in where or (doc, part) in done:
-                continue
-            done.add((doc, part))
-            at = where[doc][where[doc] + GRAM <= len(raw)]
-            made_here = np.zeros(len(at), _RECORD)
-            made_here["doc"], made_here["part"], made_here["pos"] = doc, part, at
-            made_here["left"] = np.minimum(at, REACH)
-            made_here["right"] = np.minimum(len(raw) - at, LENGTH)
-            index = at[:, None] + reach
-            inside = (index >= 0) & (index < len(raw))
-            made_here["bytes"] = np.where(inside, raw[np.clip(index, 0, len(raw) - 1)], 0)
-            made.append(made_here)
-        if not made:
+        here, holders = np.unique(np.concatenate([np.unique(h) for *_, h in found]), return_counts=True)
+        wanted = np.union1d(here[holders > 1], elsewhere["h"])
+        hot = elsewhere["h"][elsewhere["hot"] > 0]
+        cut = [(_cut_out(doc, part, raw, at[keep := np.isin(h, wanted)]), np.isin(h[keep], hot)) for doc, part, raw, at, h in found]
+        records, is_hot = (np.concatenate(x) for x in zip(*cut, strict=True))
+        if not len(records):
             return _blobs([])
-        records = np.concatenate(made)
-        least = _equal(records)
-        later = records["doc"] > least
-        out = []
-        spans = _joined(_whole(records[later]))
-        if len(spans):
-            out.append((ranges + int(texts["g"][0].as_py()), 1, _pack(spans)))
-        rest = records[~later]
-        lead_bytes = np.ascontiguousarray(rest["bytes"][:, REACH : REACH + LEAD]).view(f"S{LEAD}").ravel()
-        order = np.argsort(lead_bytes, kind="stable")
-        rest, lead_bytes = rest[order], lead_bytes[order]
-        return _blobs(out + _deal(rest, np.searchsorted(splitters, lead_bytes, side="right").astype(np.int64), 0))
+        own = int(texts["g"][0].as_py())
+        strings = [_strings(_once(records[is_hot])[0], before) for before in range(REACH + 1)] if is_hot.any() else []
+        out, spans = [], []
+        if strings and len(single := np.concatenate(strings)):
+            single, least = _once(single)
+            spans.append(_spans(single, single["pos"], single["pos"] + LENGTH)[single["doc"] > least])
+            single = single[single["doc"] == least]
+            to = np.fromiter((xxhash.xxh64_intdigest(b.tobytes()) % ranges for b in single["bytes"]), np.int64, len(single))
+            out += _deal(single, to, 2)
+        if not is_hot.all():
+            records, least = _once(records[~is_hot])
+            spans.append(_whole(records[records["doc"] > least]))
+            rest = records[records["doc"] == least]
+            leads = np.ascontiguousarray(rest["bytes"][:, REACH : REACH + LEAD]).view(f"S{LEAD}").ravel()
+            out += _deal(rest, np.searchsorted(splitters, leads, side="right").astype(np.int64), 0)
+        done = _joined(np.concatenate(spans))
+        return _blobs(out + ([(ranges + own, 1, _pack(done))] if len(done) else []))
 
     def sort_suffixes(table: pa.Table) -> pa.Table:
-        kinds, blobs, key = table["kind"].to_pylist(), table["blob"].to_pylist(), int(table["bucket"][0].as_py())
-        if kinds[0] == 1:
-            return _blobs([(key - ranges, 1, b) for b in blobs])
-        spans = resolve(np.concatenate([_unpack(b, _RECORD) for b in blobs]))
-        return _blobs(_deal(spans, group_of(spans["doc"]), 1))
-
-    schema = "bucket long, kind int, blob binary"
-    by_group = rows.groupBy("g")
-    found = by_group.cogroup(owners.groupBy("own_g")).applyInArrow(find_anchors, schema)
-    repeated = found.groupBy("bucket").applyInArrow(find_repeats, schema)
-    dealt = by_group.cogroup(repeated.groupBy("bucket")).applyInArrow(cut_suffixes, schema)
-    spans = dealt.groupBy("bucket").applyInArrow(sort_suffixes, schema)
-    side = spans.select(F.col("bucket").alias("own_g"), "blob", F.lit(None).cast("long").alias("own"), F.lit(None).cast("string").alias("own_digest")).unionByName(
-        owners.filter("first < own").select("own_g", F.lit(None).cast("binary").alias("blob"), "own", "own_digest")
-    )
+        by_kind: list[list[bytes]] = [[], [], []]
+        for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
+            by_kind[kind].append(blob)
+        suffixes, done, strings = by_kind
+        out = [(int(table["bucket"][0].as_py()) - ranges, 1, b) for b in done]  # what a group found out by itself
+        if suffixes:
+            spans = resolve(np.concatenate([_unpack(b, _RECORD) for b in suffixes]))
+            out += _deal(spans, group_of(spans["doc"]), 1)
+        if strings:
+            spans = _joined(resolve_strings(np.concatenate([_unpack(b, _STRING) for b in strings])))
+            out += _deal(spans, group_of(spans["doc"]), 1)
+        return _blobs(out)
 
     result = pa.schema([("doc", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(texts: pa.Table, known: pa.Table) -> pa.Table:
         blobs = [b for b in known["blob"].to_pylist() if b is not None]
-        spans_ = _joined(np.concatenate([_unpack(b, _SPAN) for b in blobs])) if blobs else np.zeros(0, _SPAN)
-        owner = np.r_[True, (spans_["doc"][1:] != spans_["doc"][:-1]) | (spans_["part"][1:] != spans_["part"][:-1])]
-        where = {(int(spans_["doc"][a]), int(spans_["part"][a])): (spans_["start"][a:b].tolist(), spans_["end"][a:b].tolist()) for a, b in _runs(owner, len(spans_))}
-        copies = {(d, int(x[:8], 16)) for d, x in zip(known["own"].to_pylist(), known["own_digest"].to_pylist(), strict=True) if d is not None}
+        spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for b in blobs:
+            for doc, part, start, end, several in _unpack(b, _SPAN).tolist():
+                spans.setdefault((doc, part), []).append((start, end, several))
+        gone = _copies_of(known)
         out: list[list] = [[], [], [], []]
-        for doc, part, raw in _texts(texts):
-            n = len(raw)
-            if (doc, part) in copies:
-                own = ([0], [n]) if n >= LENGTH else ([], [])
-            else:
-                own = where.get((doc, part), ([], []))
+        for doc, digest, raw in _texts(texts):
+            n, whole = len(raw), raw.tobytes()
+            own = [(0, n)] if (doc, digest) in gone else _expanded(whole, spans.get((doc, _part(digest)), []))
             kept, at = [], 0
-            for a, b in zip(*own, strict=True):
-                kept.append(raw[at:a].tobytes())
+            for a, b in own:
+                kept.append(whole[at:a])
                 at = b
-            kept.append(raw[at:].tobytes())
-            for values, value in zip(out, (doc, n, [{"start": a, "end": b} for a, b in zip(*own, strict=True)], b"".join(kept)), strict=True):
+            kept.append(whole[at:])
+            for values, value in zip(out, (doc, n, [{"start": a, "end": b} for a, b in own], b"".join(kept)), strict=True):
                 values.append(value)
         return pa.Table.from_arrays([pa.array(v, t.type) for v, t in zip(out, result, strict=True)], schema=result)
 
-    done = by_group.cogroup(side.groupBy("own_g")).applyInArrow(cut, "doc long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    schema = "bucket long, kind int, blob binary"
+    by_group = rows.groupBy("g")
+
+    def with_copies(blobs: DataFrame) -> DataFrame:
+        own = blobs.select(F.lit(None).cast("long").alias("own"), F.lit(None).cast("string").alias("own_digest"), "blob", F.col("bucket").alias("own_g"))
+        return own.unionByName(copies)
+
+    found = by_group.cogroup(copies.groupBy("own_g")).applyInArrow(find_anchors, schema)
+    if buckets > DIRECT_BUCKETS:
+        found = found.groupBy("bucket").applyInArrow(deal_again, schema)
+    repeated = found.groupBy("bucket").applyInArrow(find_repeats, schema)
+    dealt = by_group.cogroup(with_copies(repeated).groupBy("own_g")).applyInArrow(cut_suffixes, schema)
+    spans = dealt.groupBy("bucket").applyInArrow(sort_suffixes, schema)
+    done = by_group.cogroup(with_copies(spans).groupBy("own_g")).applyInArrow(cut, "doc long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
     content = F.col("text").cast("binary")
     none = plain.filter("doc is null").select("doc", F.length(content).cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start: bigint, end: bigint>>").alias("spans"), content.alias("kept"))
     return done.unionByName(none).withColumnRenamed("doc", "doc_id")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """own, own_digest: documents of at least LENGTH bytes whose text a smaller id has too.
+
+    A text of which there are very many copies is spread over SALTS tasks.
+    """
+    ids = rows.filter(F.octet_length("text") >= LENGTH).select("doc", "digest").distinct()
+    firsts = ids.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ids = ids.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    return ids.join(salted, ["digest", "salt"]).filter("first < doc").select(F.col("doc").alias("own"), F.col("digest").alias("own_digest"))
+
+
+def _copies_of(known: pa.Table) -> set[tuple[int, str]]:
+    return {(d, x) for d, x in zip(known["own"].to_pylist(), known["own_digest"].to_pylist(), strict=True) if d is not None}
+
+
+def _splitters(texts: DataFrame, n_docs: int, total: int, ranges: int) -> np.ndarray:
+    """Leading bytes that part the suffixes into so many ranges, from the anchors of some SAMPLED_DOCUMENTS documents, of
+    which about SAMPLED_ANCHORS are taken however long the documents are."""
+    share = max(1, n_docs // SAMPLED_DOCUMENTS)
+    thin = np.uint64(max(1, total // share // (13 * SAMPLED_ANCHORS)))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = utf8(column(batch, "text"))
+            found = []
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                at, h = anchors(raw[a:b])
+                found += [raw[a + p : a + p + LEAD].tobytes() for p in at[h % thin == 0].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["lead"])
+
+    if ranges == 1:
+        return np.zeros(0, f"S{LEAD}")
+    sampled = texts.filter(F.pmod(F.xxhash64(F.lit(1), "doc"), F.lit(share)) == 0).select("text").mapInArrow(lead, "lead binary").toPandas()["lead"]
+    leads = np.sort(np.array([bytes(x) for x in sampled], f"S{LEAD}"))
+    return np.unique(leads[np.linspace(0, len(leads) - 1, ranges + 1).astype(int)[1:-1]]) if len(leads) else leads
+
+
+def _anchored(texts: pa.Table, known: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Id, part, bytes, anchors and their hashes (48 bits) of each document that is no copy of a smaller one."""
+    gone, done = _copies_of(known), set()
+    for doc, digest, raw in _texts(texts):
+        if len(raw) < LENGTH or (doc, digest) in gone or (doc, digest) in done:
+            continue
+        done.add((doc, digest))
+        at, h = anchors(raw)
+        yield doc, _part(digest), raw, at, h >> np.uint64(16)
+
+
+def _cut_out(doc: int, part: int, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Records of a document's anchors with the bytes around them."""
+    out = np.zeros(len(at), _RECORD)
+    out["doc"], out["part"], out["pos"] = doc, part, at
+    out["left"], out["right"] = np.minimum(at, REACH), np.minimum(len(raw) - at, LENGTH)
+    index = at[:, None] + np.arange(-REACH, LENGTH)
+    inside = (index >= 0) & (index < len(raw))
+    out["bytes"] = np.where(inside, raw[np.clip(index, 0, len(raw) - 1)], 0)
+    return out
+
+
+def _part(digest: str) -> int:
+    """32 bits of a text's digest: tells apart the texts of rows that share an id."""
+    return int(digest[:8], 16)
+
+
 def _spark_hash(value: int) -> int:
     """Spark's xxhash64 of a bigint, as the signed number that pmod takes; Python's % is never negative either."""
-    import xxhash
-
     return _signed(xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), 42))
 
 
