@@ -29,14 +29,39 @@ def test_substrings_equal_brute_force(spark, folder, rows, monkeypatch):
         return ordered((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out)
 
     assert got() == want
-    for name, value in (("GROUP_BYTES", 1000), ("GROUP_BYTES_MOST", 1000), ("BUCKET_ANCHORS", 20), ("RANGE_BYTES", 1500), ("SAMPLED_DOCUMENTS", 10)):
+    for name, value in (("GROUP_BYTES", 1000), ("GROUP_BYTES_MOST", 1000), ("BUCKET_ANCHORS", 20), ("RANGE_BYTES", 1500), ("SAMPLED_DOCUMENTS", 10), ("SMALL", 2)):
         monkeypatch.setattr(substrings, name, value)
     assert got() == want  # many groups, hash buckets and ranges
+    for name, value in (("DIRECT_BUCKETS", 4), ("COARSE_BUCKETS", 5), ("HOT_GROUPS", 2)):
+        monkeypatch.setattr(substrings, name, value)
+    assert got() == want  # hashes dealt in two levels; frequent anchors string by string
     whole = queries.op2_substrings(spark, folder).collect()
     assert len(whole) == len(rows) and {r.doc_id: r.n_removed for r in whole}[108] == 0
 
 
-def test_multikey_sort_orders_and_groups():
+def test_substrings_of_runs_and_hot_passages(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    gram, passage = letters(30), letters(90)
+    texts = ["a" * 700, "a" * 300 + letters(80), letters(60) + "a" * 120 + "b" * 200, "ab" * 200, letters(9) + "ab" * 90 + letters(70)]
+    texts += [letters(40) + gram + letters(40) for _ in range(12)]  # one gram in ever different surroundings
+    texts += [letters(25) + passage + letters(20) + passage for _ in range(6)]
+    data = list(enumerate(texts)) + [(3, texts[1]), (90, texts[0]), (91, texts[0])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = ordered(brute.substrings(data))
+    for settings in ({}, {"GROUP_BYTES": 400, "GROUP_BYTES_MOST": 400, "RANGE_BYTES": 600, "BUCKET_ANCHORS": 10}, {"HOT_GROUPS": 1}):
+        for name, value in settings.items():
+            monkeypatch.setattr(substrings, name, value)
+        out = substrings.remove_repeats(df).collect()
+        assert ordered((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out) == want
+    raw = np.frombuffer(b"a" * 5000, np.uint8)
+    one, _ = substrings._once(substrings._cut_out(1, 0, raw, substrings.anchors(raw)[0]))
+    assert len(one) < 100 and one["multi"].any()  # a run is one suffix, but for its ends
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_multikey_sort_orders_and_groups(monkeypatch, small):
+    monkeypatch.setattr(substrings, "SMALL", small)
     strings = np.random.default_rng(0).integers(0, 3, (400, 20)).astype(np.uint8)
     order, classes = substrings.multikey_sort(substrings._tokens(strings))
     ranked = [bytes(strings[i]) for i in order]
@@ -297,7 +322,7 @@ def test_toxicity_windows_without_spaces():
         cut = toxicity.windows(toxicity.fold(text))
         assert max(map(len, cut)) <= toxicity.LONGEST_BYTES + 2 and "".join(w[1:-1].decode() for w in cut) == text
     assert model.gains().of(clean + phrase).max() > 10 > model.gains().of(clean).max()
-    assert toxicity.windows(b"word " * 40 + b"x" * 30) == [b" " + w + b" " for w in (b"word " * 12 + b"word", b"word " * 12 + b"word", b"word " * 12 + b"word", b"word " + b"x" * 30)]
+    assert toxicity.windows(b"word " * 12 + b"x" * 30) == [b" " + w + b" " for w in (b"word " * 4 + b"word", b"word " * 4 + b"word", b"word word " + b"x" * 30)]
 
 
 def test_audio_query(spark, tmp_path):

@@ -30,7 +30,7 @@ from weftspark.llm.rows import add_columns
 from weftspark.llm.sampling import logistic
 
 PER_CLASS = 3000
-WINDOW_BYTES = 60
+WINDOW_BYTES = 24
 LONGEST_BYTES = 4 * WINDOW_BYTES
 TOXIC_BYTES = 2000
 ORDINARY_BYTES = 8000
@@ -114,12 +114,18 @@ def toxic_stretches(toxic: list[bytes], ordinary: list[bytes]) -> Counter:
     return found
 
 
+#: The last field in front of a trained dictionary's content: its three repeat offsets.
+_REPEAT_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Content of a dictionary that zstandard trains on the samples; the most frequent samples where it can't fill half of it."""
+    """Content of a dictionary that zstandard trains on the samples, without the tables in front of it; the most frequent
+    samples where it can't fill half of it."""
     try:
         trained = zstd.train_dictionary(size, samples, k=16, d=6).as_bytes()
     except zstd.ZstdError:
         trained = b""
+    trained = trained[trained.find(_REPEAT_OFFSETS) + len(_REPEAT_OFFSETS) :]
     return trained if 2 * len(trained) >= size else b"".join([s for s, _ in Counter(samples).most_common(size // 7)][::-1])[-size:]
 
 
@@ -183,7 +189,7 @@ def fit(sample: list[tuple[bytes, int]], counts: tuple[int, int] | None = None)
     halves = [(c[:k], c[k:] or c) for c, k in zip(classes, cuts, strict=True)]
     (ordinary, clean), (toxic, bad) = halves
     folded = [[fold(t) for t in part] for part in (ordinary, toxic)]
-    words = Counter(w for t in folded[0] for w in set(t.split()))
+    words = Counter(w for t in folded[0] for w in dict.fromkeys(t.split()))
     common = [b" " + w for w, _ in words.most_common(4000)][::-1]
     base = _dictionary([b"".join(common[i : i + 40]) for i in range(0, len(common), 40)], ORDINARY_BYTES)[-ORDINARY_BYTES // 3 :] + b"".join(common)[-ORDINARY_BYTES:]
     stretches = toxic_stretches(folded[1], folded[0])
