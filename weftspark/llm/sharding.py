@@ -1,17 +1,18 @@
 """Operator 4: sharding by a hierarchical weighted hash tree.
 
-A row descends from the root through region and rack to a shard.  On each level every child draws ln(u) / weight, u being
-a hash of the row's id and the child's name in (0, 1]; the largest draw wins, so a child gets its weight's share of the
-rows.  A child's draw depends on nothing but itself: a changed weight moves rows only into or out of its own subtree.
-grown() adds one shard as a region of its own, so rows move into the new shard and nowhere else.  The law is `key`: the
-id and the number of shards decide.
+A row descends from the root through region and rack to a shard; on each level the child with the largest draw wins.  A
+shard draws ln(u) / weight, u being a hash of the row's id and the shard's place in (0, 1]; a rack's draw is the largest of
+its shards', a region's the largest of its racks'.  The largest of such draws is distributed like one draw with the sum of
+their weights, so every child gets its weight's share of the rows.  No draw depends on anything outside its subtree: a
+changed weight moves rows only into or out of the shards whose weights change, and one more shard takes rows only into
+itself, wherever it stands.  The law is `key`: the id and the number of shards decide.
 
-Slots number the rows of a shard without gaps from 0: rows are counted per shard and hash bucket, the buckets' counts are
-summed up in bucket order, and rows are numbered inside their bucket, so no task sees a whole shard.
+Slots number the rows of a shard without gaps from 0: rows are counted per shard and bucket, the buckets' counts are summed
+up in bucket order, and rows are numbered inside their bucket, so no task sees a whole shard.  Buckets are dealt by the
+place at which a row was stored, so rows that repeat one id spread over them too.
 
 Edge cases: a null text has no bytes, CRC-32 0 and size 8; rows whose id is null, or repeats, all go to the id's shard and
-still have slots of their own; buckets of null ids are chosen by the text; an empty table gives an empty result; other
-columns are not read.
+still have slots of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,16 +40,19 @@ class Tree:
         return sum(len(rack) for region in self.regions for rack in region)
 
     def grown(self, weight: float = 1.0) -> Tree:
-        """One more shard, in a region and rack of its own."""
-        return Tree((*self.regions, (((self.shards(), weight),),)))
+        """One more shard: in the last rack, or in a new one of its region or of a new region where that is full."""
+        new = (self.shards(), weight)
+        if not self.regions or len(self.regions[-1]) == RACKS and len(self.regions[-1][-1]) >= SHARDS_PER_RACK:
+            return Tree((*self.regions, ((new,),)))
+        *full, last = self.regions[-1]
+        racks = (*full, (*last, new)) if len(last) < SHARDS_PER_RACK else (*full, last, (new,))
+        return Tree((*self.regions[:-1], racks))
 
 
 def tree_of(shards: int) -> Tree:
-    """Full regions of RACKS x SHARDS_PER_RACK equal shards; what is left over stands in regions of one."""
-    size = RACKS * SHARDS_PER_RACK
-    full = [tuple(tuple((r * size + k * SHARDS_PER_RACK + s, 1.0) for s in range(SHARDS_PER_RACK)) for k in range(RACKS)) for r in range(shards // size)]
-    tree = Tree(tuple(full))
-    for _ in range(shards % size):
+    """The tree that has grown to so many equal shards."""
+    tree = Tree(())
+    for _ in range(shards):
         tree = tree.grown()
     return tree
 
@@ -58,31 +62,20 @@ def _draw(key: Column, name: str, weight: float) -> Column:
     return F.log(unit) / weight
 
 
-def _winner(key: Column, children: list[tuple[str, float, int]]) -> Column:
-    """Number of the child (name, weight, number) with the largest draw; the smaller number on equal draws."""
-    if len(children) == 1:
-        return F.lit(children[0][2])
-    draws = [F.struct(_draw(key, name, weight).alias("draw"), F.lit(-number).alias("rank")) for name, weight, number in children]
-    return -F.array_max(F.array(*draws))["rank"]
+def _best(draws: list[Column]) -> Column:
+    """The largest of the children's draws (struct of draw and minus the shard it comes from)."""
+    return draws[0] if len(draws) == 1 else F.greatest(*draws)
 
 
 def place(key: Column, tree: Tree) -> Column:
-    """The shard of a row."""
-
-    def weight(node: tuple) -> float:
-        return float(node[1]) if not isinstance(node[0], tuple) else sum(weight(child) for child in node)
-
-    def chosen(winner: Column, options: list[Column]) -> Column:
-        out = options[-1]
-        for number in reversed(range(len(options) - 1)):
-            out = F.when(winner == number, options[number]).otherwise(out)
-        return out
-
+    """The shard of a row; the smaller number on equal draws."""
     regions = []
     for r, region in enumerate(tree.regions):
-        racks = [_winner(key, [(f"region {r}/rack {k}/shard {s}", w, s) for s, w in rack]) for k, rack in enumerate(region)]
-        regions.append(chosen(_winner(key, [(f"region {r}/rack {k}", weight(rack), k) for k, rack in enumerate(region)]), racks))
-    return chosen(_winner(key, [(f"region {r}", weight(region), r) for r, region in enumerate(tree.regions)]), regions).cast("int")
+        racks = []
+        for k, rack in enumerate(region):
+            racks.append(_best([F.struct(_draw(key, f"region {r}/rack {k}/shard {s}", w).alias("draw"), F.lit(-s).alias("rank")) for s, w in rack]))
+        regions.append(_best(racks))
+    return (-_best(regions)["rank"]).cast("int")
 
 
 def assign(docs: DataFrame, tree: Tree, text: str = "text", id_column: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -95,15 +88,15 @@ def assign(docs: DataFrame, tree: Tree, text: str = "text", id_column: str = "do
         F.crc32(body).alias("text_crc32"),
         place(key, tree).alias("shard"),
         place(key, tree.grown()).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("stored_at"),
     )
     slim = stored(slim, "shards")
     buckets = max(1, -(-slim.count() // (tree.shards() * bucket_rows)))
-    hashed = F.xxhash64(F.coalesce("doc_id", "text_crc32"), F.lit("slot"))
-    slim = slim.withColumn("bucket", F.pmod(hashed, F.lit(buckets)))
+    slim = slim.withColumn("bucket", F.pmod(F.xxhash64("stored_at"), F.lit(buckets)))
     counts = slim.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "bucket", before.alias("offset"))
-    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32", "stored_at"))
     return slim.withColumn("within", within).join(offsets, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("offset") + F.col("within") - 1).cast("bigint").alias("slot"), "grown_shard"
     )
