@@ -27,8 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftspark.llm.arrow_text import column, small_batches, texts
+from weftspark.llm.rows import PRIVATE
 from weftspark.session import cut_lineage, stored
 
 SHINGLE_WORDS = 3
@@ -60,17 +62,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """id_column and fingerprint (its 64 bits as a signed bigint) of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """The columns `keep` and fingerprint (its 64 bits as a signed bigint) of every row."""
     small_batches(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
+    kinds = T.StructType([*[docs.schema[c] for c in keep], T.StructField("fingerprint", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.fromiter((fingerprint(t) for t in texts(column(batch, "__text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([column(batch, "__id"), pa.array(values.view(np.int64))], names=[id_column, "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*[column(batch, f"__{c}") for c in keep], pa.array(values.view(np.int64))], names=kinds.names)
 
-    return docs.select(F.col(id_column).alias("__id"), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{id_column}` {kind}, fingerprint bigint")
+    return docs.select(*[F.col(c).alias(f"__{c}") for c in keep], F.col(text).cast("string").alias("__text")).mapInArrow(run, kinds)
 
 
 def _byte(value: Column, position: int) -> Column:
@@ -215,12 +217,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _classes(prints: DataFrame, least: Column, hot_list: int) -> DataFrame:
+    """fingerprint and least: for each fingerprint the least value of `least` among all rows of its component."""
+    distinct = stored(prints.groupBy("fingerprint").agg(F.min(least).alias("least")), "distinct")
+    joined = components(links(distinct, hot_list)).withColumnRenamed("node", "fingerprint")
+    rooted = distinct.join(joined, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "least")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id", hot_list: int = HOT_LIST) -> DataFrame:
     """id_column, fingerprint (bigint) and component_id of every row."""
     prints = stored(fingerprints(docs, text, id_column), "fingerprints")
-    distinct = stored(prints.groupBy("fingerprint").agg(F.min(id_column).alias("least")), "distinct")
-    joined = components(links(distinct, hot_list)).withColumnRenamed("node", "fingerprint")
-    rooted = distinct.join(joined, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fingerprint", "component_id")
+    classes = _classes(prints, F.col(id_column), hot_list).withColumnRenamed("least", "component_id")
     return prints.join(classes, "fingerprint", "left").select(id_column, "fingerprint", "component_id")
+
+
+def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", hot_list: int = HOT_LIST) -> DataFrame:
+    """One row of each component: that of the smallest id (null ids last), and of several such rows the one stored first.
+
+    Rows, not ids, are kept or dropped, so an id that repeats with unrelated texts loses none of them.
+    """
+    row = f"{PRIVATE}row"
+    marked = stored(docs.withColumn(row, F.monotonically_increasing_id()), "marked")
+    prints = stored(fingerprints(marked, text, id_column, row), "fingerprints")
+    order = F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.col(row).alias("row"))
+    gone = prints.join(_classes(prints, order, hot_list), "fingerprint").filter(F.col(row) != F.col("least.row")).select(row)
+    return marked.join(stored(gone, "dropped"), row, "left_anti").select(*docs.columns)
