@@ -241,10 +241,15 @@ def _expanded(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     """The merged byte ranges of one text; a span that stands for more of its kind is searched for in the whole text."""
     found = [(a, b) for a, b, several in spans if not several]
     for pattern in {raw[a:b] for a, b, several in spans if several}:
-        at = raw.find(pattern)
+        at, size = raw.find(pattern), len(pattern)
         while at >= 0:
-            found.append((at, at + len(pattern)))
-            at = raw.find(pattern, at + 1)
+            end = at + size
+            after = raw.find(pattern, at + 1)
+            while 0 <= after <= end:  # one range as long as they touch
+                end = after + size
+                after = raw.find(pattern, after + 1)
+            found.append((at, end))
+            at = after
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -254,6 +259,13 @@ def _expanded(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def _within(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Whether each value is among the ranked ones."""
+    if not len(ranked):
+        return np.zeros(len(values), bool)
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
+
+
 def resolve(records: np.ndarray) -> np.ndarray:
     """All spans that a bucket's suffixes give."""
     if not len(records):
@@ -375,7 +387,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         here, holders = np.unique(np.concatenate([np.unique(h) for *_, h in found]), return_counts=True)
         wanted = np.union1d(here[holders > 1], elsewhere["h"])
         hot = elsewhere["h"][elsewhere["hot"] > 0]
-        cut = [(_cut_out(doc, part, raw, at[keep := np.isin(h, wanted)]), np.isin(h[keep], hot)) for doc, part, raw, at, h in found]
+        cut = [(_cut_out(doc, part, raw, at[keep := _within(h, wanted)]), _within(h[keep], hot)) for doc, part, raw, at, h in found]
         records, is_hot = (np.concatenate(x) for x in zip(*cut, strict=True))
         if not len(records):
             return _blobs([])
