@@ -59,7 +59,7 @@ SAMPLED_DOCUMENTS, SAMPLED_ANCHORS = 2_000, 50_000
 #: Rows over which the copies of one text are spread when their first one is looked up.
 SALTS = 8
 #: Rows that a multikey quicksort hands to a plain sort.
-SMALL = 64
+SMALL = 256
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _RECORD = np.dtype([("doc", "<i8"), ("part", "<u4"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("multi", "u1"), ("bytes", "u1", REACH + LENGTH)])
@@ -125,41 +125,49 @@ def multikey_sort(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     Multikey quicksort: a run of rows that agree in the tokens before `depth` is split by a pivot among the tokens there into
     smaller, equal and larger ones; the equal ones go on with the next token.  All runs are split at once, round by round;
-    runs of SMALL rows are left to a plain sort at the end.
+    runs of SMALL rows are left to plain sorts, token by token, at the end.
     """
     n, q = tokens.shape
     order, new = np.arange(n), np.zeros(n, bool)
     new[:1] = True
     start, size, depth = np.array([0]), np.array([n]), np.array([0])
-    small: list[tuple[np.ndarray, np.ndarray]] = []
+    small: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while True:
         open_ = (size > 1) & (depth < q)
         few = open_ & (size <= SMALL)
-        small.append((start[few], size[few]))
+        small.append((start[few], size[few], depth[few]))
         start, size, depth = (x[open_ & ~few] for x in (start, size, depth))
         if not len(start):
             break
         run, at = _spread(start, size)
-        token = tokens[order[at], depth[run]]
+        rows = order[at]
+        token = tokens[rows, depth[run]]
         first = np.cumsum(size) - size
         three = np.sort(np.stack([token[first], token[first + size // 2], token[first + size - 1]]), axis=0)
         pivot = three[1][run]
-        side = 3 * run + (token > pivot) + (token >= pivot)  # smaller, equal, larger
-        order[at] = order[at][np.argsort(side, kind="stable")]
-        counts = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3)
+        sides = [token < pivot, token == pivot, token > pivot]
+        counts = np.stack([np.add.reduceat(side, first, dtype=np.int64) for side in sides], axis=1)
         starts = start[:, None] + np.cumsum(counts, axis=1) - counts
+        for side, to, before in zip(sides, starts.T, (np.cumsum(counts, axis=0) - counts).T, strict=True):
+            own = run[side]
+            order[to[own] + np.arange(len(own)) - before[own]] = rows[side]
         depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
         start, size = starts.ravel(), counts.ravel()
         new[start[size > 0]] = True
-    start, size = (np.concatenate(x) for x in zip(*small, strict=True))
-    if len(start):
+    start, size, depth = (np.concatenate(x) for x in zip(*small, strict=True))
+    while len(start):
         run, at = _spread(start, size)
         rows = order[at]
-        rank = np.lexsort((*(tokens[rows, k] for k in reversed(range(q))), run))
-        rows = rows[rank]
-        order[at] = rows
-        differ = np.r_[True, (tokens[rows[1:]] != tokens[rows[:-1]]).any(axis=1) | (run[1:] != run[:-1])]
-        new[at] = differ
+        token = tokens[rows, depth[run]]
+        rank = np.lexsort((token, run))
+        order[at], token = rows[rank], token[rank]
+        differ = np.r_[True, (token[1:] != token[:-1]) | (run[1:] != run[:-1])]
+        new[at[differ]] = True
+        edges = np.flatnonzero(differ)
+        size = np.diff(np.r_[edges, len(at)])
+        start, depth = at[edges], depth[run[edges]] + 1
+        open_ = (size > 1) & (depth < q)
+        start, size, depth = start[open_], size[open_], depth[open_]
     return order, np.cumsum(new) - 1
 
 
