@@ -6,8 +6,10 @@ the first m bytes of all patterns, m being the length of the shortest, a shift t
 far the search may jump; a block that ends such a prefix selects a bucket of patterns, which are compared directly.
 Patterns are grouped by length, so that a short item does not shorten everyone's jumps.
 
-The benchmark's tables are broadcast, WINDOWS_PER_SCAN windows at a time: a larger benchmark is searched for in as many
-scans as it takes, each adding to the hits of those before, so what is broadcast has a fixed bound.
+The benchmark's windows are broadcast, WINDOWS_PER_SCAN pairs of window and item at a time, dealt by their hash: neither a
+long item nor a window that very many items share makes a broadcast grow, and a larger benchmark is searched for in as many
+scans as it takes.  Scans after the first give only what they find, by the text's digest; the corpus is never rewritten.  A
+worker builds the tables of a scan once.
 
 Edge cases: null and empty texts have no words, on either side; an item without words or without an id is never found;
 repeated items are one; items equal in text all count; an empty benchmark or table gives no hits or no rows; a word in
@@ -19,15 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.arrow_text import column, texts
+from weftspark.llm.arrow_text import column, small_batches, texts
 from weftspark.llm.rows import PRIVATE, add_columns
 from weftspark.session import stored
 
 WINDOW = 10
-#: Windows searched for in one scan, at most but for uneven hashing; a window takes up to 40 entries of the shift table.
+#: Pairs of window and item searched for in one scan, at most but for uneven hashing; a window takes up to 40 shift entries.
 WINDOWS_PER_SCAN = 50_000
 BLOCK = 8
 #: A byte to itself if it is of a word, A-Z to a-z, any other byte to a space.
@@ -82,12 +84,38 @@ class WuManber:
                 end += 1
 
 
-def _tables(items: list[tuple[str, bytes]], window: int) -> tuple[WuManber, dict[bytes, set[str]], dict[bytes, int]]:
-    holders: dict[bytes, set[str]] = {}
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            holders.setdefault(w, set()).add(item)
-    return WuManber(list(holders)), holders, {w: w.count(b" ") - 1 for w in holders}
+class Patterns:
+    """Windows with the items that hold them; the search tables are built once in each worker that asks for them."""
+
+    def __init__(self, pairs: list[tuple[bytes, str]]):
+        self.pairs = pairs
+        self.built: tuple[WuManber, dict[bytes, set[str]], dict[bytes, int]] | None = None
+
+    def __getstate__(self) -> dict[str, object]:
+        return {"pairs": self.pairs, "built": None}
+
+    def tables(self) -> tuple[WuManber, dict[bytes, set[str]], dict[bytes, int]]:
+        if self.built is None:
+            holders: dict[bytes, set[str]] = {}
+            for w, item in self.pairs:
+                holders.setdefault(w, set()).add(item)
+            self.built = WuManber(list(holders)), holders, {w: w.count(b" ") - 1 for w in holders}
+        return self.built
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Word ranges of all occurrences, and the items they belong to."""
+        search, holders, widths = self.tables()
+        whole = b" " + b" ".join(words) + b" "
+        spans, items = [], set()
+        at = word = 0
+        for start, w in search.search(whole):
+            if start < at:  # the next group of patterns begins at the front again
+                at = word = 0
+            word += whole.count(b" ", at, start)
+            at = start
+            spans.append((word, word + widths[w]))
+            items |= holders[w]
+        return spans, items
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,49 +128,72 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_SPANS = "array<struct<first: bigint, after: bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+
+
+def item_windows(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
+    """Each window (w, as bytes) with each item that holds it."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).filter("item is not null and body is not null")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(w, i) for i, t in zip(column(batch, "item").to_pylist(), texts(column(batch, "body")), strict=True) for w in windows_of(words_of(t), window)]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.binary()), pa.array([i for _, i in pairs], pa.string())], names=["w", "item"])
+
+    return items.mapInArrow(cut, "w binary, item string").distinct()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, windows_per_scan: int = WINDOWS_PER_SCAN) -> DataFrame:
     """docs with the private columns n_words, spans (array of hit word ranges: first, after last) and items (ids as strings)."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("body")).filter("item is not null and body is not null").distinct()
-    bound = items.agg(F.sum(F.ceil(F.length("body") / 2))).first()[0] or 0  # a word takes two characters at least
-    scans = max(1, -(-int(bound) // windows_per_scan))
-    out = docs
+    small_batches(docs.sparkSession)
+    pairs = stored(item_windows(benchmark, item_id, item_text, window), "windows")
+    scans = max(1, -(-pairs.count() // windows_per_scan))
+    held = []
     for k in range(scans):
-        part = items if scans == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(scans)) == k)
-        held = docs.sparkSession.sparkContext.broadcast([(r["item"], r["body"].encode("utf-8")) for r in part.toLocalIterator()])
-        out = _scan(out if k == 0 else stored(out, "hits"), held, text, window, again=k > 0)
-    return out
-
-
-def _scan(docs: DataFrame, held, text: str, window: int, again: bool) -> DataFrame:
-    old_spans, old_items = f"{PRIVATE}old_spans", f"{PRIVATE}old_items"
-    if again:
-        docs = docs.withColumnsRenamed({f"{PRIVATE}spans": old_spans, f"{PRIVATE}items": old_items}).drop(f"{PRIVATE}n_words")
+        part = pairs.filter(F.pmod(F.xxhash64("w", "item"), F.lit(scans)) == k)
+        held.append(docs.sparkSession.sparkContext.broadcast(Patterns([(bytes(r["w"]), r["item"]) for r in part.toLocalIterator()])))
+    digest, more_spans, more_items = f"{PRIVATE}digest", f"{PRIVATE}more_spans", f"{PRIVATE}more_items"
+    source = docs
+    if scans > 1:
+        hits = _hits(docs, text, held[1])
+        for patterns in held[2:]:
+            hits = hits.unionByName(_hits(docs, text, patterns))
+        found = hits.distinct().groupBy(digest).agg(F.flatten(F.collect_list("spans")).alias(more_spans), F.flatten(F.collect_list("items")).alias(more_items))
+        source = docs.withColumn(digest, _digest(text)).join(stored(found, "hits"), digest, "left").drop(digest)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        search, holders, widths = _tables(held.value, window)
         for batch in batches:
             counts, spans, found = [], [], []
-            before = zip(column(batch, old_spans).to_pylist(), column(batch, old_items).to_pylist(), strict=True) if again else None
+            others = zip(column(batch, more_spans).to_pylist(), column(batch, more_items).to_pylist(), strict=True) if scans > 1 else None
             for t in texts(column(batch, text)):
                 words = words_of(t)
-                whole = b" " + b" ".join(words) + b" "
-                own, items = [], set()
-                at = word = 0
-                for start, w in search.search(whole):
-                    if start < at:  # the next group of patterns begins at the front again
-                        at = word = 0
-                    word += whole.count(b" ", at, start)
-                    at = start
-                    own.append((word, word + widths[w]))
-                    items |= holders[w]
-                if before is not None:
-                    more, names = next(before)
-                    own += [(s["first"], s["after"]) for s in more]
-                    items |= set(names)
+                own, items = held[0].value.find(words)
+                for more, names in [next(others)] if others else ():
+                    own += [(s["first"], s["after"]) for s in more or ()]
+                    items.update(names or ())
                 counts.append(len(words))
                 spans.append([{"first": a, "after": b} for a, b in _merge(own)])
                 found.append(sorted(items))
-            yield [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
+            yield [pa.array(counts, pa.int64()), pa.array(spans, _SPAN_TYPE), pa.array(found, pa.list_(pa.string()))]
+
+    return add_columns(source, {"n_words": "bigint", "spans": _SPANS, "items": "array<string>"}, compute).drop(more_spans, more_items)
+
 
-    out = add_columns(docs, {"n_words": "bigint", "spans": "array<struct<first: bigint, after: bigint>>", "items": "array<string>"}, compute)
-    return out.drop(old_spans, old_items)
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+
+
+def _hits(docs: DataFrame, text: str, held) -> DataFrame:
+    """What one scan finds: digest of the text, spans and items of the texts that hold any of its windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for digest, t in zip(column(batch, "digest").to_pylist(), texts(column(batch, "body")), strict=True):
+                spans, items = held.value.find(words_of(t))
+                if spans:
+                    rows.append((digest, [{"first": a, "after": b} for a, b in _merge(spans)], sorted(items)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], _SPAN_TYPE), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=[f"{PRIVATE}digest", "spans", "items"])
+
+    return docs.select(_digest(text).alias("digest"), F.col(text).cast("string").alias("body")).mapInArrow(run, f"{PRIVATE}digest string, spans {_SPANS}, items array<string>")
