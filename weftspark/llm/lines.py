@@ -70,9 +70,10 @@ def _probe(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits, bool)
-    out[_probe(hashes, bits).ravel()] = True
-    return np.packbits(out)
+    out = np.zeros(bits // 8, np.uint8)
+    at = _probe(hashes, bits).ravel().astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+    return out
 
 
 def _low(digests: list[int]) -> np.ndarray:
@@ -83,7 +84,9 @@ def _low(digests: list[int]) -> np.ndarray:
 def twice_filter(docs: DataFrame, text: str, min_chars: int = MIN_CHARS, max_bits: int = MAX_FILTER_BITS) -> np.ndarray:
     """The bits of the twice filter of all documents, packed."""
     small_batches(docs.sparkSession)
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    lines, chars = (n or 0 for n in docs.agg(F.sum(breaks + 1), F.sum(F.length(text))).first())
+    lines = max(1, min(lines, chars // max(1, min_chars)))  # shorter ones have no key
     bits = min(max_bits, max(SEGMENT_BITS, 1 << int(BITS_PER_LINE * lines - 1).bit_length()))
     schema = "segment int, slot int, once binary, twice binary"
 
@@ -194,13 +197,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(doc, *_halves(d)) for doc, t in zip(column(batch, "__id").to_pylist(), texts(column(batch, "__text")), strict=True) for d in {d for _, d in _suspects(bitmap.value, _digests(t, min_chars))}]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["__id", "h1", "h2"])
-
-    slim = docs.select(F.col(id_column).cast("bigint").alias("__id"), F.col(text).cast("string").alias("__text"))
-    places = slim.mapInArrow(occurrences, "__id bigint, h1 bigint, h2 bigint").distinct().join(repeats, ["h1", "h2"]).filter(~F.col("__id").eqNullSafe(F.col("keeper")))
-    gathered = places.groupBy(F.col("__id").alias(f"{PRIVATE}id")).agg(F.collect_list(F.struct("h1", "h2")).alias(f"{PRIVATE}drop"))
-    joined = docs.join(gathered, docs[id_column].cast("bigint").eqNullSafe(F.col(f"{PRIVATE}id")), "left").drop(f"{PRIVATE}id")
+            rows = zip(column(batch, "__id").to_pylist(), column(batch, "__digest").to_pylist(), texts(column(batch, "__text")), strict=True)
+            found = [(doc, digest, *_halves(d)) for doc, digest, t in rows for d in {d for _, d in _suspects(bitmap.value, _digests(t, min_chars))}]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["__id", "__digest", "h1", "h2"])
+
+    # by id and text: rows without id, or with the same one, are gathered text by text
+    digest = F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
+    slim = docs.select(F.col(id_column).cast("bigint").alias("__id"), digest.alias("__digest"), F.col(text).cast("string").alias("__text"))
+    places = slim.mapInArrow(occurrences, "__id bigint, __digest string, h1 bigint, h2 bigint").distinct().join(repeats, ["h1", "h2"]).filter(~F.col("__id").eqNullSafe(F.col("keeper")))
+    gathered = places.groupBy(F.col("__id").alias(f"{PRIVATE}id"), F.col("__digest").alias(f"{PRIVATE}digest")).agg(F.collect_list(F.struct("h1", "h2")).alias(f"{PRIVATE}drop"))
+    same = docs[id_column].cast("bigint").eqNullSafe(F.col(f"{PRIVATE}id")) & (digest == F.col(f"{PRIVATE}digest"))
+    joined = docs.join(gathered, same, "left").drop(f"{PRIVATE}id", f"{PRIVATE}digest")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for batch in batches:
