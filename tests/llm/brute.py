@@ -97,3 +97,100 @@ def simhash(rows, bits=3):
 
 def held_out(doc, modulus, remainder):
     return doc is not None and zlib.crc32(str(doc).encode()) % modulus == remainder
+
+
+def first_of_each(rows):
+    """One row of each near-duplicate group: the smallest id, null ids last."""
+    prints = [fingerprint(t) for _, t in rows]
+    left, out = set(range(len(rows))), []
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            i = todo.pop()
+            if i in left:
+                left.discard(i)
+                group.add(i)
+                todo += [j for j in left if (prints[i] ^ prints[j]).bit_count() <= 3]
+        out.append(min(group, key=lambda i: (rows[i][0] is None, rows[i][0] or 0)))
+    return [rows[i] for i in sorted(out)]
+
+
+def gains(model, text):
+    """Bytes that the toxic dictionary saves in each window, every window with compressors of its own."""
+    import zstandard as zstd
+
+    from weftspark.llm import toxicity as T
+
+    def size(window, content):
+        held = zstd.ZstdCompressionDict(content or b" " * 8, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        how = zstd.ZstdCompressionParameters.from_level(6, dict_size=T.TOXIC_BYTES + T.ORDINARY_BYTES, source_size=2 * T.WINDOW_BYTES, min_match=4, write_checksum=False, write_content_size=False, write_dict_id=False)
+        held.precompute_compress(compression_params=how)
+        return len(zstd.ZstdCompressor(dict_data=held, compression_params=how).compress(window))
+
+    words = re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", (text or "").lower().encode()).split()
+    windows, own = [], b""
+    for word in words:
+        own = own + b" " + word if own else word
+        if len(own) >= T.WINDOW_BYTES:
+            windows.append(own)
+            own = b""
+    windows += [own] if own else []
+    return [size(b" " + w + b" ", model.ordinary) - size(b" " + w + b" ", model.toxic + model.ordinary) for w in windows]
+
+
+def toxicity(model, text):
+    import math
+
+    own = gains(model, text)
+    over = [(g - model.mean) / model.spread for g in own]
+    high = sum(max(o - 2, 0) for o in over)
+    root = math.sqrt(len(over)) or 1
+    features = [sum(over) / root, math.log1p(high), math.log1p(high / root), max(over), sum(o > 2 for o in over) / len(over)] if over else [0.0] * 5
+    mean, scale, weights = model.fit
+    z = weights[5] + sum((f - m) / s * w for f, m, s, w in zip(features, mean, scale, weights, strict=False))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def network(net, raw, chunk=32, stride=16):
+    """The score of a convolutional network, chunk by chunk and filter by filter."""
+    import math
+
+    n = max(chunk, -(-len(raw) // stride) * stride)
+    padded = bytes(raw) + b"\0" * (n - len(raw))
+    top = [-math.inf] * len(net.bias)
+    for start in range(0, n - chunk + 1, stride):
+        flat = [float(v) for b in padded[start : start + chunk] for v in net.vectors[b]]
+        for k in range(len(top)):
+            top[k] = max(top[k], sum(x * float(w) for x, w in zip(flat, net.filters[:, k], strict=True)))
+    z = float(net.out[-1]) + sum(math.tanh(t + float(b)) * float(o) for t, b, o in zip(top, net.bias, net.out, strict=False))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def trigram_shares(text, likelihood, rounds, bits):
+    """Proportions of the languages and the log-likelihood by plain expectation-maximisation, trigram by trigram."""
+    import math
+
+    raw = b" " + re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", text.lower().encode()) + b" "
+    codes = [((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> (32 - bits) for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)]
+    k = likelihood.shape[1]
+    share = [1 / k] * k
+    for _ in range(rounds):
+        new = [0.0] * k
+        for c in codes:
+            whole = sum(share[i] * likelihood[c][i] for i in range(k))
+            for i in range(k):
+                new[i] += share[i] * likelihood[c][i] / whole
+        share = [x / len(codes) for x in new]
+    return share, sum(math.log(sum(share[i] * likelihood[c][i] for i in range(k))) for c in codes)
+
+
+def shard(doc, places):
+    """The shard whose draw is the largest; places are (region, rack, shard, weight) of every shard."""
+    import math
+
+    def draw(region, rack, number, weight):
+        seed = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
+        value = xxhash.xxh64_intdigest(f"region {region}/rack {rack}/shard {number}".encode(), seed)
+        return math.log(((value >> 11) + 1) / 2**53) / weight
+
+    return max(places, key=lambda p: (draw(*p), -p[2]))[2]

@@ -254,6 +254,53 @@ def test_sharding_confines_movement_to_the_changed_subtree(spark):
     assert moved and all(r.b >= 8 for r in moved) and not [r for r in moved if r.a < 8 and r.b < 8] and not [r for r in moved if 8 <= r.a < 12 and r.b < 12]
 
 
+def test_sharding_equals_a_plain_tree_and_grows_by_one(spark):
+    ids = list(range(300)) + [-5, 2**40]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r.doc_id: r.s for r in df.select("doc_id", sharding.place(F.col("doc_id"), sharding.tree_of(24)).alias("s")).collect()}
+    assert got == {i: brute.shard(i, [(n // 8, n % 8 // 4, n, 1.0) for n in range(24)]) for i in ids}
+    many = spark.range(3000).select("id", *[sharding.place(F.col("id"), sharding.tree_of(n)).alias(f"s{n}") for n in range(1, 41)])
+    moved = many.agg(*[F.count_if((F.col(f"s{n + 1}") != F.col(f"s{n}")) & (F.col(f"s{n + 1}") != n)).alias(f"m{n}") for n in range(1, 40)]).first()
+    assert set(moved) == {0} and all(sharding.tree_of(n + 1) == sharding.tree_of(n).grown() for n in range(41))
+
+
+def test_slots_of_one_id_that_repeats(spark):
+    out = sharding.assign(spark.range(2000).select(F.lit(7).cast("bigint").alias("doc_id"), F.lit("x").alias("text")), sharding.tree_of(3), bucket_rows=20).collect()
+    assert len({r.shard for r in out}) == 1 and sorted(r.slot for r in out) == list(range(2000))
+
+
+def test_toxicity_equals_a_plain_version():
+    rng = np.random.default_rng(2)
+    model = toxicity.fit(make(rng, 120, "grumblesnark", 0.08))
+    gains = model.gains()
+    for text, _ in make(rng, 12, "grumblesnark", 0.08) + [(b"", 0), (b"Just one, word! grumblesnark", 1)]:
+        assert list(gains.of(text.decode())) == brute.gains(model, text.decode())
+        assert abs(gains.score(text.decode()) - brute.toxicity(model, text.decode())) < 1e-9
+
+
+def test_quality_equals_a_plain_convolution():
+    rng = np.random.default_rng(6)
+    net = quality.fit(make(rng, 30, "qq", 0.1))
+    for n in (0, 1, 31, 32, 33, 48, 200):
+        raw = rng.integers(97, 123, n).astype(np.uint8)
+        assert abs(net.score(raw) - brute.network(net, raw.tobytes())) < 1e-4
+
+
+def test_mixture_equals_plain_expectation_maximisation(docs):
+    model = language.fit(docs, F.col("doc_id") < 40)
+    for text in ("the and ing, er!", "sch ein 5 ung ich the there", "einung"):
+        counts = next(language._documents(__import__("pyarrow").array([text])))[1]
+        at = np.flatnonzero(counts)
+        share, likely = language.mixture(counts[at].astype(float), model.likelihood[at])
+        want, value = brute.trigram_shares(text, model.likelihood, language.ROUNDS, language.BUCKET_BITS)
+        assert np.allclose(share, want, atol=1e-9) and abs(likely - value) < 1e-6
+
+
+def test_tokenizer_files_with_other_steps_are_refused():
+    with pytest.raises(bpe.UnsupportedTokenizer, match="normalizer"):
+        bpe.PairIndexEncoder(queries.tokenizer_path("byte_bpe_50k.json"))
+
+
 def pcm(samples):
     return (np.clip(samples, -1, 1) * 32767).astype("<i2").tobytes()
 
@@ -304,6 +351,43 @@ def test_audio_links_moderate_bit_errors(spark):
             assert q + 1 in want and (got[q].n_links, got[q].match_id, got[q].shift, got[q].bit_error) == (len(want), match, shift, error)
 
 
+def test_audio_finds_recordings_cut_between_frames(spark):
+    rng = np.random.default_rng(12)
+    media, tunes = [], 8
+    settings = [(cut, noise) for cut in (0, 64, 128, 192) for noise in (0.0, 0.1, 0.2)]
+    for t in range(tunes):
+        tune = audio.melody(list(rng.normal(0, 1 / 8, 64)))
+        media.append((1000 * t, pcm(tune / 2)))
+        for k, (cut, noise) in enumerate(settings):
+            part = tune[10 * audio.HOP + cut :]
+            media.append((1000 * t + k + 1, pcm((part + rng.normal(0, noise, len(part))) / 2)))
+    prints = audio.fingerprints(spark.createDataFrame(media, "rec long, media binary"), "media", "rec")
+    got = audio.align(prints).collect()
+    found = {r.id: r.n_links for r in got if r.id % 1000 == 0}
+    print("recall", sum(found.values()) / (tunes * len(settings)))
+    assert sum(found.values()) >= 0.9 * tunes * len(settings) and all(abs(r.shift - 10) <= 1 for r in got if r.id % 1000 == 0)
+
+
+def test_all_filters_equal_plain_sums():
+    frames = np.random.default_rng(3).random((17, 12)).astype(np.float32)
+    wide = np.concatenate([frames, frames[:, :6]], axis=1).astype(float)
+    got = audio.packed(frames)
+    for start in range(len(got)):
+        block = wide[start : start + 8]
+        for i, (kind, low, height) in enumerate(audio._filters()):
+            band, above = block[:, low : low + height], block[:, low + height : low + 2 * height]
+            if kind == 0:
+                x, y = band.sum(), above.sum()
+            elif kind == 1:
+                x, y = band[:4].sum(), band[4:].sum()
+            elif kind == 2:
+                x, y = band[:4].sum() + above[4:].sum(), band[4:].sum() + above[:4].sum()
+            else:
+                x, y = 2 * band[2:6].sum(), band.sum()
+            level = int(np.searchsorted(audio.CUTS, np.log((0.05 + x) / (0.05 + y))))
+            assert got[start] >> np.uint32(30 - 2 * i) & 3 == audio.GRAY[level]
+
+
 def test_audio_aligns_repeated_passages_and_silence(spark):
     rng = np.random.default_rng(6)
     x, y, z = (audio.melody(list(rng.normal(0, 1 / n**0.5, n))) for n in (30, 30, 18))

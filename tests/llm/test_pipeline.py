@@ -24,8 +24,7 @@ def test_stages_equal_plain_versions(spark, docs, folder, rows):
     plain = [(d, t) for d, _, _, t in brute.line_dedup(plain)]
     assert step.columns == docs.columns and texts(step) == sorted(plain, key=lambda r: (r[0] is None, r))
     step = stages["simhash_near_dedup"](spark, step, folder)
-    least = {(d, i): c for i, (d, _, c) in enumerate(brute.simhash(plain))}
-    plain = [r for i, r in enumerate(plain) if r[0] is None or least[(r[0], i)] == r[0]]
+    plain = brute.first_of_each(plain)
     assert step.columns == docs.columns and texts(step) == sorted(plain, key=lambda r: (r[0] is None, r))
     step = stages["benchmark_decontamination"](spark, step, folder)
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
@@ -40,6 +39,19 @@ def test_stages_equal_plain_versions(spark, docs, folder, rows):
     assert whole == want
 
 
+def test_rows_of_a_repeated_id_are_judged_one_by_one(spark, rows, folder):
+    long, other = rows[1][1], rows[2][1]
+    data = [(3, long), (7, long), (7, other), (9, long), (3, long), (None, other), (None, rows[3][1])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert texts(dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, folder)) == texts(spark.createDataFrame([(3, long), (7, other), (None, rows[3][1])], "doc_id long, text string"))
+
+
+def test_texts_pass_where_no_language_is_known(spark, folder):
+    data = [(1, "some words"), (2, "12 34"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, None, "s", 0) for d, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    assert texts(dict(corpus_pipeline.STAGES)["language"](spark, docs, folder)) == [(1, "some words")]
+
+
 def test_stages_keep_clashing_columns_and_take_empty_tables(spark, clashing, none, folder):
     for docs in (clashing, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:

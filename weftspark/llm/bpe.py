@@ -10,7 +10,7 @@ within the code points on which the interpreter's and the tokenizer's Unicode ta
 split by the tokenizer library itself.  Merging is always done here.
 
 Edge cases: a null or empty text has no ids and decodes to ''; special-token strings in a text are their own ids, as in
-the library; very long words are merged like any other; repeated rows give repeated results; other input columns are
+the library; a tokenizer file with other steps is refused (UnsupportedTokenizer); very long words are merged like any other; repeated rows give repeated results; other input columns are
 never read, so their names cannot clash.
 """
 
@@ -36,7 +36,6 @@ REMEMBERED_WORDS = 400_000
 BLOCK_CHARS = 4_000_000
 #: Latin, Greek, Cyrillic, punctuation and the main CJK blocks: assigned and cased alike in every Unicode version in use.
 _AGREED = regex.compile(r"[\x00-ͷЀ-ԯḀ-ỿ‐-⁤₠-₿　-ヿ一-龥]*")
-_SPACES = regex.compile(r"\s+")
 
 
 def _byte_letters() -> list[str]:
@@ -46,12 +45,40 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
+# The kind of tokenizer file that is understood, part by part.
+_NORMALIZERS, _PRE_TOKENIZERS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]
+
+
+class UnsupportedTokenizer(ValueError):
+    """A tokenizer file asks for steps that this encoder does not make."""
+
+
+def _require_known(spec: dict, path: str) -> None:
+    """Refuse a file whose steps are not those that the encoder makes, and say which one is not."""
+    kinds = lambda part, key: [p.get("type") for p in (spec.get(part) or {}).get(key, [spec.get(part) or {}])]
+    model = spec.get("model") or {}
+    wanted = {
+        "normalizer": (kinds("normalizer", "normalizers"), _NORMALIZERS),
+        "pre_tokenizer": (kinds("pre_tokenizer", "pretokenizers"), _PRE_TOKENIZERS),
+        "decoder": (spec.get("decoder"), None),
+        "model": (model.get("type"), "BPE"),
+        "model.dropout": (model.get("dropout"), None),
+        "model.byte_fallback": (bool(model.get("byte_fallback")), False),
+        "model.ignore_merges": (bool(model.get("ignore_merges")), False),
+        "model.continuing_subword_prefix": (model.get("continuing_subword_prefix") or "", ""),
+    }
+    for name, (found, known) in wanted.items():
+        if found != known:
+            raise UnsupportedTokenizer(f"{path}: {name} is {found!r}, known is {known!r}")
+
+
 class PairIndexEncoder:
     """Ids and tokens of words, by the pair occurrence index."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        _require_known(spec, path)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
