@@ -16,18 +16,13 @@ from weftspark.llm.rows import PRIVATE
 from weftspark.session import ship_package, stored
 from weftspark.sources.tables import table
 
-#: A document whose leading language has a smaller proportion is rejected, as is one without a letter; texts in two or
-#: three languages stay.
-LEAST_LANGUAGE_SHARE = 0.3
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without letters, or of no leading language, go."""
+    """Documents that have a language: those without a letter go, in whichever languages a text is written."""
     ship_package(spark)
     model = language.fit(docs, F.col("doc_id").isNotNull() & ~language.held_out("doc_id", 4, 2))
-    found = language.identify(docs, model)
-    kept = (F.col(f"{PRIVATE}lang_pred") != language.UNDETERMINED) & (F.col(f"{PRIVATE}lang_score") >= LEAST_LANGUAGE_SHARE)
-    return found.filter(kept).select(*docs.columns)
+    if not model.languages:  # nothing to tell languages by, so only texts without letters are rejected
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return language.identify(docs, model).filter(F.col(f"{PRIVATE}lang_pred") != language.UNDETERMINED).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +36,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates one document, the one with the smallest id."""
     ship_package(spark)
-    others = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return simhash.first_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
