@@ -61,6 +61,11 @@ def violations(df: DataFrame, key: list[str], column: str, schema: Schema) -> Da
     return df.select(*key, F.explode(checks).alias("violation"))
 
 
+def broken(df: DataFrame, key: list[str], rules: dict[str, Column], name: str = "rule") -> DataFrame:
+    """One row per row and rule that holds for it: the key columns and the rule's name."""
+    return df.select(*key, F.explode(F.array_compact(F.array(*[F.when(holds, rule) for rule, holds in rules.items()]))).alias(name))
+
+
 def safe_diagnostic(stage: Column, category: Column, path: Column, stages: tuple[str, ...], categories: tuple[str, ...]) -> Column:
     """What may be told of a failure: names of known stages and categories, and a path without contents."""
     clean = F.regexp_replace(path, r"\[\d+\]", "[]")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.functions.text import audit_text, first_case
+from weftspark.operators.recall import in_blocks
 
 # Statuses of a dictionary comparison, the order in which fabric attributes narrow a search, and thresholds.
 STATUSES = ("exact_match", "equivalent_match", "partial_match", "more_specific", "ambiguous", "conflict", "dictionary_no_match", "source_not_provided")
@@ -25,8 +26,8 @@ def color_candidates(text: Column) -> Column:
 def match_fabrics(queries: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """key and source_row of the dictionary rows that agree in every attribute that the query has.
 
-    queries: key, components map<string,string>; dictionary: source_row, components.  The dictionary is a small table of
-    fixed size (its workbook has fixed bounds), so it is broadcast; the category, where the query has one, is the join key.
+    queries: key, components map<string,string>; dictionary: source_row, components.  The category, where the query has one,
+    is the join key; the others meet the dictionary block by block.  Catalyst broadcasts a dictionary that is small enough.
     """
     value = lambda side, k: F.coalesce(F.try_element_at(F.col(side), F.lit(k)), F.lit(""))
     q = queries.select(key, F.col("components").alias("_q"), value("components", "category").alias("_category"))
@@ -34,14 +35,14 @@ def match_fabrics(queries: DataFrame, dictionary: DataFrame, key: str) -> DataFr
     fits = F.lit(True)
     for k in FABRIC_ORDER[1:]:
         fits = fits & ((value("_q", k) == "") | (value("_q", k) == value("_d", k)))
-    named = q.filter("_category <> ''").join(F.broadcast(d), "_category").filter(fits)
-    rest = q.filter("_category = ''").withColumn("_one", F.lit(1)).join(F.broadcast(d.drop("_category").withColumn("_one", F.lit(1))), "_one").filter(fits)
+    named = q.filter("_category <> ''").join(d, "_category").filter(fits)
+    rest = in_blocks(d.drop("_category"), q.filter("_category = ''"), key, fits)
     return named.select(key, "source_row").unionByName(rest.select(key, "source_row"))
 
 
 def match_keywords(rows: DataFrame, rules: DataFrame, text: str, keyword: str) -> DataFrame:
-    """rows with each rule whose keyword their text has (case ignored); the rules are a small fixed table."""
-    return rows.join(F.broadcast(rules), F.contains(F.lower(F.col(text)), F.lower(F.col(keyword))))
+    """rows with each rule whose keyword their text has (case ignored); the rules meet the rows block by block."""
+    return in_blocks(rules, rows, text, F.contains(F.lower(F.col(text)), F.lower(F.col(keyword))))
 
 
 def single_candidate(candidates: Column, value: Column) -> Column:

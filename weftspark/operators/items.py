@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.contracts import FORMAL_FIELDS, FORMAL_SCHEMA
 from weftspark.functions import fields as N
 from weftspark.functions.text import column_letters, quantity, text_of
-from weftspark.operators.sheets import SHEET
+from weftspark.operators.sheets import SHEET, carried
 
 # The header words that name each column, in order of preference, and the column without any (None: none).
 COLUMN_WORDS = {
@@ -60,12 +60,11 @@ def raw_items(table: DataFrame) -> DataFrame:
     order = Window.partitionBy(*SHEET).orderBy("row")
     fresh = (F.lag("row").over(order).isNull()) | (F.col("row") != F.lag("row").over(order) + 1) | (F.col("section_note") != "")
     rows = rows.withColumn("_island", F.sum(F.when(fresh, 1).otherwise(0)).over(order))
-    inside = Window.partitionBy(*SHEET, "_island").orderBy("row")
     own = F.col("specification") != ""
-    source = F.last(F.when(own, F.struct("specification", "specification_cell")), ignorenulls=True).over(inside)
+    source = carried(F.when(own, F.struct("specification", "specification_cell")), [*SHEET, "_island"], "row")
     # the first row of an island follows nothing, so it inherits nothing; a carried text must name the product
-    carried = ~own & source.isNotNull() & is_cover(source["specification"])
-    rows = rows.withColumns({"_source": source, "inherited": F.coalesce(carried, F.lit(False))})
+    inherits = ~own & source.isNotNull() & is_cover(source["specification"])
+    rows = rows.withColumns({"_source": source, "inherited": F.coalesce(inherits, F.lit(False))})
     return rows.withColumns(
         {
             "specification": F.when(F.col("inherited"), F.col("_source.specification")).otherwise(F.col("specification")),

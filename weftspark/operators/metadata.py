@@ -53,15 +53,22 @@ def currency(rows: DataFrame) -> DataFrame:
     )
 
 
+def beside(labels: DataFrame, cells: DataFrame, by: list[str], at: str, place: str, reach: int) -> DataFrame:
+    """labels with each cell up to `reach` places behind them and its distance: the range becomes an equi-join by exploding
+    the few places.  labels have the column `at`, cells the column `place`."""
+    places = labels.withColumn("distance", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn(place, F.col(at) + F.col("distance"))
+    return places.join(cells, [*by, place])
+
+
 def labelled_values(rows: DataFrame, labels: tuple[str, ...], reach: int = 4) -> DataFrame:
     """Values at a label: behind its colon, or in the next `reach` cells of its row; order tells which comes first."""
     cells = long_cells(rows)
     pattern = rf"(?is)^\s*({'|'.join(label.replace(' ', r'\s+') for label in labels)})\s*(?:[:：]\s*(.*)|$)"
     at = cells.filter(F.col("text").rlike(pattern)).select(*SHEET, "row", F.col("col").alias("label_col"), F.regexp_extract("text", pattern, 2).alias("inline"))
     inline = at.filter(F.trim("inline") != "").select(*SHEET, "row", "label_col", F.lit(0).alias("distance"), F.trim("inline").alias("value"))
-    places = at.withColumn("distance", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("col", F.col("label_col") + F.col("distance"))
-    beside = places.join(cells.select(*SHEET, "row", "col", "text"), [*SHEET, "row", "col"]).select(*SHEET, "row", "label_col", "distance", optional_text(F.col("text")).alias("value")).filter("value <> ''")
-    return inline.unionByName(beside).withColumn("order", F.struct("row", "label_col", "distance"))
+    near = beside(at, cells.select(*SHEET, "row", "col", "text"), [*SHEET, "row"], "label_col", "col", reach)
+    near = near.select(*SHEET, "row", "label_col", "distance", optional_text(F.col("text")).alias("value")).filter("value <> ''")
+    return inline.unionByName(near).withColumn("order", F.struct("row", "label_col", "distance"))
 
 
 def ship_date(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspark.operators.contracts import broken
 from weftspark.operators.states import number_gaps
 
 # The conclusions a reviewer can choose.
@@ -37,7 +38,7 @@ def issues(review: DataFrame, materials: DataFrame, candidates: DataFrame) -> Da
         "wrong_fields_not_named": (c == WRONG_FIELDS) & (F.col("fix_fields") == ""),
         "id_not_a_number": ~F.col("audit_id").rlike(r"^\d+$"),
     }
-    found = rows.select("audit_id", F.explode(F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))).alias("rule"))
+    found = broken(rows, ["audit_id"], rules)
     repeated = review.groupBy("audit_id").count().filter("count > 1").select("audit_id", F.lit("id_repeated").alias("rule"))
     numbers = review.filter(F.col("audit_id").rlike(r"^\d+$")).select(F.col("audit_id").cast("bigint").alias("n"))
     gaps = number_gaps(numbers.unionByName(review.sparkSession.range(0, 1).select(F.col("id").alias("n"))), "n").select(F.col("n").cast("string").alias("audit_id"), F.lit("id_missing").alias("rule"))

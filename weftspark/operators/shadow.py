@@ -109,7 +109,7 @@ def style_row_components(styles: DataFrame) -> DataFrame:
 
 def match_styles(queries: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     """key, source_row and standard_name of the dictionary's styles that a description shows in every core feature, without
-    any extra that it doesn't show.  queries: key, components.  The dictionary's size is fixed, so it is broadcast."""
+    any extra that it doesn't show.  queries: key, components; the form is the join key."""
     get = lambda side, k: F.coalesce(F.try_element_at(F.col(side), F.lit(k)), F.lit(""))
     fits = F.lit(True)
     for k in CORE:
@@ -120,7 +120,7 @@ def match_styles(queries: DataFrame, dictionary: DataFrame, key: str) -> DataFra
         fits = fits & (get("_d", k) != "")
     q = queries.select(key, F.col("components").alias("_q"), get("components", "form").alias("_form")).filter("_form <> '' and _form <> 'open_bottom_no_flap'")
     d = dictionary.select("source_row", "standard_name", F.col("components").alias("_d"), get("components", "form").alias("_form"))
-    return q.join(F.broadcast(d), "_form").filter(fits).select(key, "source_row", "standard_name")
+    return q.join(d, "_form").filter(fits).select(key, "source_row", "standard_name")
 
 
 def _result(status: Column, candidates: Column, matched: Column | None = None, missing: Column | None = None, conflicting: Column | None = None) -> Column:
@@ -195,7 +195,7 @@ def _grouped(matched: DataFrame, value: str) -> DataFrame:
 def _compare_fabrics(rows: DataFrame, fabrics: DataFrame) -> DataFrame:
     book = fabric_row_components(fabrics)
     rows = rows.withColumns({"components": fabric_components(F.col("source_text")), "_official": fabric_components(F.col("value"))})
-    matched = match_fabrics(rows, book, "record_id").join(F.broadcast(book.select("source_row", "projection")), "source_row").filter("projection <> ''")
+    matched = match_fabrics(rows, book, "record_id").join(book.select("source_row", "projection"), "source_row").filter("projection <> ''")
     rows = rows.join(_grouped(matched, "projection"), "record_id", "left").withColumn("_candidates", F.coalesce("_candidates", F.array().cast("array<string>")))
     keys = F.array(*[F.lit(k) for k in FABRIC_ORDER[:3]])
     at = lambda m, k: F.try_element_at(F.col(m), k)

@@ -41,10 +41,20 @@ def grid(cells: DataFrame, most_columns: int = MOST_COLUMNS) -> DataFrame:
     return every.select(*SHEET, "sheet", "row", dense(F.col("_texts")).alias("cells"), dense(F.col("_formats")).alias("formats"))
 
 
-def header_score(cells: Column) -> Column:
+def carried(value: Column, by: list[str], order: str) -> Column:
+    """The last value that is not null up to a row, among the rows that agree in `by`."""
+    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order))
+
+
+def with_islands(df: DataFrame, by: list[str], number: str, name: str = "_island") -> DataFrame:
+    """df, whose numbers are unique, with a value that rows of consecutive numbers share."""
+    return df.withColumn(name, F.col(number) - F.row_number().over(Window.partitionBy(*by).orderBy(number)))
+
+
+def header_score(cells: Column, words: tuple[str, ...] = HEADER_WORDS) -> Column:
     """How many header words are part of some cell."""
     low = F.transform(cells, F.lower)
-    return F.size(F.filter(F.array(*[F.lit(w) for w in HEADER_WORDS]), lambda w: F.exists(low, lambda c: F.contains(c, w))))
+    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.exists(low, lambda c: F.contains(c, w))))
 
 
 def is_numbered(cells: Column) -> Column:
@@ -114,8 +124,7 @@ def table_rows(rows: DataFrame) -> DataFrame:
     note = F.when(~F.col("item") & ~F.col("blank") & ~F.col("footer"), row_text(c))
     before = F.coalesce(F.sum(F.col("item").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     body = body.withColumns({"_note": note, "_part": before})
-    carried = F.last("_note", ignorenulls=True).over(Window.partitionBy(*SHEET, "_part").orderBy("row"))
-    items = body.withColumn("section_note", F.coalesce(carried, F.lit(""))).filter("item")
+    items = body.withColumn("section_note", F.coalesce(carried(F.col("_note"), [*SHEET, "_part"], "row"), F.lit(""))).filter("item")
     return items.join(combine_headers(locate_header(rows)), SHEET).select(*SHEET, "sheet", "row", "cells", "headers", "section_note")
 
 
@@ -126,5 +135,5 @@ def numbered_blocks(rows: DataFrame) -> DataFrame:
     marked = rows.withColumns({"_numeric": F.coalesce(first.rlike(r"^\d+(\.0)?$"), F.lit(False)), "_score": header_score(F.col("cells"))})
     above = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(-3, -1)
     marked = marked.withColumn("_headers", F.collect_list(F.when(F.col("_score") >= 2, F.col("row"))).over(above))
-    numeric = marked.filter("_numeric").withColumn("_island", F.col("row") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("row")))
+    numeric = with_islands(marked.filter("_numeric"), SHEET, "row")
     return numeric.groupBy(*SHEET, "_island").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count(F.lit(1)).alias("records"), F.min_by("_headers", "row").alias("header_rows")).drop("_island")

@@ -197,12 +197,12 @@ def currency_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey, 'T' || (p_size * 10)::VARCHAR AS density, 'C' || p_size::VARCHAR || '/T' || (100 - p_size)::VARCHAR AS composition, (p_size * 10)::VARCHAR || '*' || (p_size * 20)::VARCHAR || 'cm+5cm' AS spec,
-  p_size::VARCHAR || 'S*40S' AS yarn, CASE WHEN p_type = 'PROMO' THEN '被套' ELSE '' END AS category FROM part WHERE p_size >= 1
+  p_size::VARCHAR || 'S*40S' AS yarn, CASE WHEN p_type = 'PROMO' THEN '被套' ELSE '' END AS category FROM part
 """)
 def master_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised master fields of values written in odd ways."""
     size = F.col("p_size")
-    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").filter("p_size >= 1").select(
+    return table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").select(
         "p_partkey",
         N.master_density(F.concat(F.lit("tc "), size * 10)).alias("density"),
         N.master_composition(F.concat(F.lit("t "), 100 - size, F.lit(" / c"), size)).alias("composition"),
@@ -215,7 +215,7 @@ def master_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_partkey, 'C' || p_size::VARCHAR || '/T' || (100 - p_size)::VARCHAR AS composition, '斜纹/T' || (200 + p_size)::VARCHAR || '/C' || p_size::VARCHAR || '/T' || (100 - p_size)::VARCHAR AS fabric,
   CASE WHEN p_type = 'PROMO' THEN '无飞边口袋有系带式' WHEN p_type = 'LARGE' THEN '无飞边平口信封式' ELSE '' END AS style, CASE WHEN p_size % 2 = 0 THEN '灰色' ELSE '漂白色' END AS color,
-  CASE WHEN p_size % 3 = 0 THEN '重叠片' || p_size::VARCHAR ELSE '' END AS note FROM part WHERE p_size >= 1
+  CASE WHEN p_size % 3 = 0 THEN '重叠片' || p_size::VARCHAR ELSE '' END AS note FROM part
 """)
 def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of an order line out of a description."""
@@ -224,7 +224,7 @@ def order_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Twill "), 200 + size, F.lit("TC "), size, F.lit("% cotton / "), 100 - size, F.lit("% polyester "), F.when(kind == "PROMO", "bag, with ties ").when(kind == "LARGE", "envelope ").otherwise(""),
         F.when(size % 2 == 0, "grey ").otherwise("white "), F.when(size % 3 == 0, F.concat(F.lit("overlap: "), size, F.lit("cm"))).otherwise(""),
     )
-    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").filter("p_size >= 1").withColumn("t", text)
+    rows = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_type").withColumn("t", text)
     how = {"composition": N.order_composition, "fabric": N.order_fabric, "style": N.order_style, "color": N.order_color, "note": N.order_note}
     return rows.select("p_partkey", *[f(F.col("t")).alias(n) for n, f in how.items()])
 

@@ -11,7 +11,6 @@ from weftspark.contracts import COMPARISON_STATUSES
 from weftspark.functions import fields as N
 from weftspark.functions import sizes as S
 from weftspark.functions.text import master_text
-from weftspark.functions.vectors import dot
 from weftspark.operators import ranking, recall, scoring, summary
 from weftspark.operators.master import labelled_text
 from weftspark.session import stored
@@ -56,7 +55,7 @@ def match_orders(queries: DataFrame, master: DataFrame, query_vectors: DataFrame
     if top_k < 10 or recall_k <= 0:
         raise ValueError("top_k is 10 at least, recall_k 1 at least")
     queries = stored(queries, "queries")
-    indexed = master.join(master_vectors.select("material_code"), "material_code", "left_semi")
+    indexed = recall.indexed(master, master_vectors, "material_code")
     structured = recall.structured_recall(queries, indexed, "order_id", "product_category", OPEN_FIELDS, "material_code")
     by_vector = recall.vector_topk(
         query_vectors.select(F.col("order_id").alias("query_id"), "vector"), master_vectors.select(F.col("material_code").alias("item_id"), "vector"), recall_k
@@ -69,8 +68,7 @@ def match_orders(queries: DataFrame, master: DataFrame, query_vectors: DataFrame
     m = scoring.prepared(indexed, "m_").select("material_code", "document_text", *scoring.COMPARED, "fabric_category", *[c for f in scoring.COMPARED for c in (f"m_{f}_raw", f"m_{f}_text", f"m_{f}_key")], "m_size", "m_features")
     m = stored(m, "prepared-master")
     pairs = union.join(by_vector, ["order_id", "material_code"], "left")
-    vectors = query_vectors.select("order_id", F.col("vector").alias("_q")), master_vectors.select("material_code", F.col("vector").alias("_m"))
-    pairs = pairs.join(vectors[0], "order_id").join(vectors[1], "material_code").withColumn("similarity", F.coalesce("similarity", dot(F.col("_q"), F.col("_m")))).drop("_q", "_m")
+    pairs = recall.backfilled(pairs, query_vectors, master_vectors, "order_id", "material_code")
     scored = scoring.evaluated(pairs.join(q, "order_id").join(m, "material_code"), "q_", "m_", "similarity")
     kept_fields = (*scoring.COMPARED, "fabric_category")
     scored = scored.select("order_id", "material_code", "sources", "first_source", "similarity", "document_text", *kept_fields, "fields", "conflicts", "structured_score", "comparable_fields", "vector_score", "match_score")

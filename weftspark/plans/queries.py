@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import text as X
 from weftspark.functions import vectors as V
-from weftspark.operators import ranking, recall, states, summary
+from weftspark.operators import contracts, items, metadata, ranking, recall, sheets, states, summary
+from weftspark.sources import documents
 from weftspark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,8 +82,8 @@ def structured_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45)")
 def recall_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").filter("l_quantity >= 45")
-    return table(spark, sf_dir, "part", "p_partkey", "p_brand").join(wanted, F.col("p_partkey") == F.col("l_partkey"), "left_semi")
+    wanted = table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").filter("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return recall.indexed(table(spark, sf_dir, "part", "p_partkey", "p_brand"), wanted, "p_partkey")
 
 
 @query("""
@@ -98,8 +99,8 @@ def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 450000)")
 def recall_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").filter("o_totalprice >= 450000")
-    return table(spark, sf_dir, "customer", "c_custkey", "c_name").join(placed, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    placed = table(spark, sf_dir, "orders", "o_custkey", "o_totalprice").filter("o_totalprice >= 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return states.missing(table(spark, sf_dir, "customer", "c_custkey", "c_name"), placed, ["c_custkey"])
 
 
 @query("""
@@ -107,10 +108,7 @@ SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN '
 FROM documents d FULL OUTER JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id
 """)
 def pair_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = table(spark, sf_dir, "documents", "doc_id").withColumn("_l", F.lit(1))
-    right = table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1").withColumn("_r", F.lit(1))
-    kind = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("paired")
-    return left.join(right, "doc_id", "full_outer").select("doc_id", kind.alias("pairing"))
+    return documents.pairing(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels", "doc_id", "quality").filter("quality = 1"), ["doc_id"])
 
 
 @query("""
@@ -119,11 +117,9 @@ UNION ALL
 SELECT 'only_second', user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events WHERE value >= 15 EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE value < 15)
 """)
 def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both differences of two sets; the sets are equal if nothing comes out."""
+    """Both differences of two sets."""
     events = table(spark, sf_dir, "events", "user_id", "event_type", "value")
-    first, second = (events.filter(c).select("user_id", "event_type") for c in ("value < 15", "value >= 15"))
-    one = first.subtract(second).select(F.lit("only_first").alias("side"), "user_id", "event_type")
-    return one.unionByName(second.subtract(first).select(F.lit("only_second").alias("side"), "user_id", "event_type"))
+    return documents.set_differences(*(events.filter(c).select("user_id", "event_type") for c in ("value < 15", "value >= 15")))
 
 
 # ---- scores, ranks, decisions
@@ -282,11 +278,12 @@ def priority_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, (min(turn) FILTER (WHERE role = 'assistant'))::BIGINT AS first_turn, sha256(coalesce(arg_min(text, turn) FILTER (WHERE role = 'assistant'), '')) AS text_sha256 FROM conversations GROUP BY conv_id
 """)
 def first_by_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first value that qualifies, as a header picks its column."""
+    """A conversation as one row whose headers are the roles: the first column that the header word names."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    fits = F.col("role") == "assistant"
-    first = F.min_by(F.when(fits, F.col("text")), F.when(fits, F.col("turn")))
-    return turns.groupBy("conv_id").agg(F.min(F.when(fits, F.col("turn"))).alias("first_turn"), F.sha2(F.coalesce(first, F.lit("")), 256).alias("text_sha256"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    place = items.pick_column(F.transform("t", lambda t: t["text"]), F.transform("t", lambda t: t["role"]), ("assistant",), None)
+    found = rows.withColumn("found", F.get("t", place))
+    return found.select("conv_id", F.col("found.turn").alias("first_turn"), F.sha2(F.coalesce("found.text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("""
@@ -294,7 +291,7 @@ SELECT conv_id, turn, sha256(coalesce(last_value(CASE WHEN role = 'user' THEN te
 """)
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    carried = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn"))
+    carried = sheets.carried(F.when(F.col("role") == "user", F.col("text")), ["conv_id"], "turn")
     return turns.select("conv_id", "turn", F.sha2(F.coalesce(carried, F.lit("")), 256).alias("carried_sha256"))
 
 
@@ -304,9 +301,8 @@ SELECT l_orderkey, min(l_linenumber)::INTEGER AS first_line, max(l_linenumber)::
 GROUP BY l_orderkey, island
 """)
 def consecutive_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").distinct()
-    island = F.col("l_linenumber") - F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
-    return lines.withColumn("island", island).groupBy("l_orderkey", "island").agg(F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"), F.count(F.lit(1)).alias("lines")).drop("island")
+    lines = sheets.with_islands(table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").distinct(), ["l_orderkey"], "l_linenumber", "island")
+    return lines.groupBy("l_orderkey", "island").agg(F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"), F.count(F.lit(1)).alias("lines")).drop("island")
 
 
 @query("""
@@ -316,11 +312,11 @@ JOIN (SELECT conv_id, turn, role, text FROM conversations) b ON a.conv_id = b.co
 QUALIFY row_number() OVER (PARTITION BY a.conv_id, a.turn ORDER BY b.turn - a.turn) = 1
 """)
 def adjacent_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest value up to four places behind a label: ranges become equi-joins by exploding the four places."""
+    """The nearest value up to four places behind a label."""
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    labels = turns.filter("role = 'user'").select("conv_id", "turn", F.explode(F.sequence(F.col("turn") + 1, F.col("turn") + 4)).alias("reply_turn"))
     values = turns.filter("role = 'assistant'").select("conv_id", F.col("turn").alias("reply_turn"), F.sha2("text", 256).alias("reply_sha256"))
-    return labels.join(values, ["conv_id", "reply_turn"]).groupBy("conv_id", "turn").agg(F.min(F.struct("reply_turn", "reply_sha256")).alias("best")).select("conv_id", "turn", "best.*")
+    near = metadata.beside(turns.filter("role = 'user'").select("conv_id", "turn"), values, ["conv_id"], "turn", "reply_turn", 4)
+    return near.groupBy("conv_id", "turn").agg(F.min(F.struct("reply_turn", "reply_sha256")).alias("best")).select("conv_id", "turn", "best.*")
 
 
 # ---- scalar functions
@@ -330,8 +326,7 @@ SELECT doc_id, (CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE
 """)
 def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many keywords a text has."""
-    low = F.lower("text")
-    score = F.size(F.filter(F.array(*[F.lit(w) for w in ("the", "license", "email", "der")]), lambda w: F.contains(low, w)))
+    score = sheets.header_score(F.array("text"), ("the", "license", "email", "der"))
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", score.alias("score"))
 
 
@@ -343,9 +338,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.length(cleaned).cast("bigint").alias("clean_length"), F.sha2(cleaned, 256).alias("clean_sha256"))
 
 
-@query("SELECT doc_id, sha256(lower(text)) AS folded_sha256 FROM documents")
+@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS folded_sha256 FROM documents")
 def casefold_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(F.lower("text"), 256).alias("folded_sha256"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.sha2(X.audit_text(F.col("text")), 256).alias("folded_sha256"))
 
 
 @query("""
@@ -383,19 +378,6 @@ def quote_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", place["start"].cast("bigint").alias("start"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k, len(json_keys(props)) AS n_keys FROM events")
-def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict reading of a JSON column by schema, with the number of its keys."""
-    parsed = F.from_json("props", "k int", {"mode": "FAILFAST"})
-    return table(spark, sf_dir, "events", "event_id", "props").select("event_id", parsed["k"].alias("k"), F.size(F.json_object_keys("props")).cast("bigint").alias("n_keys"))
-
-
-@query(r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS text_length FROM pages")
-def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stripped = F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"\s+", " "))
-    return table(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.length(stripped).cast("bigint").alias("text_length"))
-
-
 # ---- run state
 
 ALLOWED = {"view": ("view", "click", "error"), "click": ("purchase", "view", "error"), "signup": ("view",), "purchase": ("view",), "error": ()}
@@ -443,30 +425,18 @@ def stale_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.gaps_over(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), ["user_id"], "ts", ["event_id"], 1800).select("event_id", "user_id", "gap_us")
 
 
-@query("""
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.quality IS NULL THEN 'rule_fallback' WHEN d.lang IS NULL THEN 'candidate_only' WHEN (l.quality = 1) = (d.lang = 'en') THEN 'agree' ELSE 'different' END AS comparison,
-       CASE WHEN l.quality IS NULL THEN d.lang ELSE 'q' || l.quality::VARCHAR END AS value
-FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id
-""")
-def field_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates first, the rule's value where there is none, and how the two compare."""
-    rule, candidate = table(spark, sf_dir, "documents", "doc_id", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality")
-    agree = (F.col("quality") == 1) == (F.col("lang") == "en")
-    kind = F.when(F.col("quality").isNull(), "rule_fallback").when(F.col("lang").isNull(), "candidate_only").when(agree, "agree").otherwise("different")
-    value = F.when(F.col("quality").isNull(), F.col("lang")).otherwise(F.concat(F.lit("q"), F.col("quality").cast("string")))
-    return rule.join(candidate, "doc_id", "full_outer").select("doc_id", kind.alias("comparison"), value.alias("value"))
-
-
 @query("""
 SELECT l_orderkey, l_linenumber, 'quantity_too_large' AS rule FROM lineitem WHERE l_quantity > 49
 UNION ALL SELECT l_orderkey, l_linenumber, 'unknown_order' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)
 UNION ALL SELECT l_orderkey, l_linenumber, 'no_discount_on_return' FROM lineitem WHERE l_returnflag = 'R' AND l_discount = 0
 """)
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the columns of a row, and one over another table."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_discount")
-    unknown = lines.join(table(spark, sf_dir, "orders", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").withColumn("rule", F.lit("unknown_order"))
-    own = F.array_compact(F.array(F.when(F.col("l_quantity") > 49, "quantity_too_large"), F.when((F.col("l_returnflag") == "R") & (F.col("l_discount") == 0), "no_discount_on_return")))
-    return lines.withColumn("rule", F.explode(own)).unionByName(unknown).select("l_orderkey", "l_linenumber", "rule")
+    key = ["l_orderkey", "l_linenumber"]
+    rules = {"quantity_too_large": F.col("l_quantity") > 49, "no_discount_on_return": (F.col("l_returnflag") == "R") & (F.col("l_discount") == 0)}
+    unknown = states.missing(lines, table(spark, sf_dir, "orders", "o_orderkey").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"])
+    return contracts.broken(lines, key, rules).unionByName(unknown.select(*key, F.lit("unknown_order").alias("rule")))
 
 
 @query("SELECT l_orderkey FROM (SELECT unnest(range(min(l_orderkey), max(l_orderkey) + 1)) AS l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -37,6 +37,33 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return unique(parsed.select("d.id", "d.text", "d.metadata"), "id")
 
 
+def pairing(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Each key of either side and whether both have it: paired, left_only or right_only."""
+    both = left.select(*key).distinct().withColumn("_l", F.lit(1)).join(right.select(*key).distinct().withColumn("_r", F.lit(1)), key, "full_outer")
+    kind = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("paired")
+    return both.select(*key, kind.alias("pairing"))
+
+
+def set_differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """What only one of two sets of rows has, nulls equal to nulls; the sets are equal if nothing comes out."""
+    one = first.subtract(second).select(F.lit("only_first").alias("side"), *first.columns)
+    return one.unionByName(second.subtract(first).select(F.lit("only_second").alias("side"), *first.columns))
+
+
+def store_differences(store: DataFrame, documents: DataFrame) -> DataFrame:
+    """Where a material store and its documents differ: side, id and difference (missing, text or source_row).
+
+    side tells who has the row: material_store, documents or both.  Nothing comes out of a store that equals its documents.
+    """
+    own = store.select(F.col("material_code").alias("id"), F.col("document_text").alias("_text"), F.col("source_row").cast("bigint").alias("_row"), F.lit(True).alias("_own"))
+    other = documents.select("id", "text", F.col("metadata")["source_row"].try_cast("bigint").alias("row"), F.lit(True).alias("_other"))
+    both = own.join(other, "id", "full_outer")
+    lone = F.col("_own").isNull() | F.col("_other").isNull()
+    side = F.when(F.col("_other").isNull(), "material_store").when(F.col("_own").isNull(), "documents").otherwise("both")
+    differences = F.array(F.when(lone, "missing"), F.when(~lone & ~F.col("_text").eqNullSafe(F.col("text")), "text"), F.when(~lone & ~F.col("_row").eqNullSafe(F.col("row")), "source_row"))
+    return both.select(side.alias("side"), "id", F.explode(F.array_compact(differences)).alias("difference"))
+
+
 def material_candidates(spark: SparkSession, store: str) -> DataFrame:
     """The store's columns that matching needs, one row per code."""
     columns = ("material_code", "source_row", "product_category", "spec", "color", "fabric", "fabric_category", "density", "composition", "style", "label_method", "size_type", "document_text")
