@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_of(value: Column) -> Column:
     """The value as text, '' for null."""
     return F.coalesce(value.cast("string"), F.lit(""))
@@ -54,8 +59,7 @@ NOTHING = ("", "/", "-", "--", "－", "n/a", "na", "none", "null")
 
 def optional_text(value: Column) -> Column:
     """clean_text, but '' where it stands for nothing."""
-    cleaned = clean_text(value)
-    return F.when(F.lower(cleaned).isin(*NOTHING), "").otherwise(cleaned)
+    return let(clean_text(value), lambda cleaned: F.when(F.lower(cleaned).isin(*NOTHING), "").otherwise(cleaned))
 
 
 def plain_number(value: Column) -> Column:
@@ -66,9 +70,12 @@ def plain_number(value: Column) -> Column:
 
 def quantity(value: Column) -> Column:
     """A whole number loses its fraction; any other text stays."""
-    cleaned = clean_text(value)
-    number = F.when(cleaned.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), cleaned.try_cast("double"))
-    return F.when(number.isNotNull() & (number == F.floor(number)), number.cast("decimal(38,0)").cast("string")).otherwise(cleaned)
+
+    def written(cleaned: Column) -> Column:
+        number = F.when(cleaned.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), cleaned.try_cast("double"))
+        return let(number, lambda n: F.when(n.isNotNull() & (n == F.floor(n)), n.cast("decimal(38,0)").cast("string")).otherwise(cleaned))
+
+    return let(clean_text(value), written)
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -84,11 +91,6 @@ def first_case(*cases: tuple[Column, str | Column], otherwise: str | Column = ""
     return out
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it; keeps generated code small."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ellipsis(text: Column, limit: int = 180) -> Column:
     """At most limit characters, the last one a mark of omission where something is left out."""
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…"))).otherwise(text)
@@ -111,19 +113,21 @@ def column_letters(number: Column) -> Column:
 
 def parse_date(value: Column) -> Column:
     """YYYY-MM-DD out of a text: year first, else the first number is the month if it can be; the calendar isn't asked."""
-    text = optional_text(value)
     ymd, dmy = r"\b(20\d{2})[-/.](\d{1,2})[-/.](\d{1,2})\b", r"\b(\d{1,2})[-/](\d{1,2})[-/](20\d{2})\b"
-    part = lambda pattern, k: F.regexp_extract(text, pattern, k)
+    parts = lambda text: F.struct(*[F.regexp_extract(text, p, k).alias(f"{name}{k}") for name, p in (("y", ymd), ("d", dmy)) for k in (1, 2, 3)])
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    month_first = part(dmy, 1).cast("int") <= 12
-    return first_case(
-        (text.rlike(ymd), F.concat_ws("-", part(ymd, 1), two(part(ymd, 2)), two(part(ymd, 3)))),
-        (text.rlike(dmy) & month_first, F.concat_ws("-", part(dmy, 3), two(part(dmy, 1)), two(part(dmy, 2)))),
-        (text.rlike(dmy), F.concat_ws("-", part(dmy, 3), two(part(dmy, 2)), two(part(dmy, 1)))),
-    )
+
+    def written(p: Column) -> Column:
+        month_first = p["d1"].cast("int") <= 12
+        return first_case(
+            (p["y1"] != "", F.concat_ws("-", p["y1"], two(p["y2"]), two(p["y3"]))),
+            ((p["d1"] != "") & month_first, F.concat_ws("-", p["d3"], two(p["d1"]), two(p["d2"]))),
+            (p["d1"] != "", F.concat_ws("-", p["d3"], two(p["d2"]), two(p["d1"]))),
+        )
+
+    return let(let(optional_text(value), parts), written)
 
 
 def calendar_date(value: Column) -> Column:
     """parse_date, but null where the calendar has no such day."""
-    parsed = parse_date(value)
-    return F.when(parsed != "", F.date_format(F.to_timestamp(F.try_to_timestamp(parsed, F.lit("yyyy-MM-dd"))), "yyyy-MM-dd"))
+    return let(parse_date(value), lambda parsed: F.when(parsed != "", F.date_format(F.to_timestamp(F.try_to_timestamp(parsed, F.lit("yyyy-MM-dd"))), "yyyy-MM-dd")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.functions.text import audit_text, first_case
+from weftspark.functions.text import audit_text, first_case, let
 from weftspark.operators.recall import in_blocks
 
 # Statuses of a dictionary comparison, the order in which fabric attributes narrow a search, and thresholds.
@@ -17,7 +17,11 @@ EMPTY_STATUSES = ("unrecognized", "source_not_provided")
 
 def color_candidates(text: Column) -> Column:
     """The standard colours that a text names, in order."""
-    low = audit_text(text)
+    return let(audit_text(text), colors_in)
+
+
+def colors_in(low: Column) -> Column:
+    """color_candidates of a text that audit_text has been through."""
     return F.array_compact(F.array(
         F.when(low.rlike(r"(?U)\bwhite\b|漂白|本白"), "漂白色"), F.when(low.rlike(r"(?U)\bgr[ae]y\b|灰"), "灰色"), F.when(low.rlike(r"(?U)\bblue\b|蓝"), "蓝色"), F.when(low.rlike(r"(?U)\bbeige\b|米"), "米色"),
     ))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspark.contracts import FORMAL_FIELDS, FORMAL_SCHEMA
 from weftspark.functions import fields as N
-from weftspark.functions.text import column_letters, quantity, text_of
+from weftspark.functions.text import column_letters, let, quantity, text_of
 from weftspark.operators.sheets import SHEET, carried
 
 # The header words that name each column, in order of preference, and the column without any (None: none).
@@ -97,7 +97,8 @@ def formal_records(items: DataFrame, metadata: DataFrame) -> DataFrame:
         "款式": N.order_style(text), "加标方式": F.lit("客标"), "尺寸类型": N.order_size_type(text), "数量": quantity(F.col("quantity")), "行备注": N.order_note(text),
         "计划发货日期": F.col("ship_date"), "包装方式": F.lit(N.PACKAGING), "是否绣花": N.order_embroidery(text), "相似分数": F.lit(0.0),
     }
-    rows = rows.withColumn("record", F.struct(*[F.coalesce(v, F.lit("")).alias(f) if f != "相似分数" else v.alias(f) for f, v in value.items()]))
+    record = F.struct(*[F.coalesce(v, F.lit("")).alias(f) if f != "相似分数" else v.alias(f) for f, v in value.items()])
+    rows = rows.withColumn("record", let(record, lambda r: r))  # computed once, though statuses look at many of its fields
     # The words by which a text speaks of a field at all.
     signal = {
         "颜色": r"(?i)\bwhite\b|\bgrey\b|\bgray\b|\bblue\b|\bred\b|\byellow\b|白色|灰色|蓝色|红色|黄色",

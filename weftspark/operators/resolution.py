@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.functions.text import audit_text, collapse, master_text, text_of
+from weftspark.functions.text import audit_text, collapse, let, master_text, text_of
 
 # Field groups of the decision policy; the first group's differences are severe.
 HIGH_REVIEW = ("客户", "币种", "业务员", "数量", "计划发货日期")
@@ -20,19 +20,23 @@ INTERPRETATIONS = ("direct", "semantic", "source_summary")
 
 def normalized_value(field: Column, value: Column) -> Column:
     """A value without differences of notation: white space and width; names of currencies; plain numbers; calendar dates."""
-    text = master_text(value)
     aliases = F.create_map(*[F.lit(x) for pair in CURRENCY_ALIASES.items() for x in pair])
-    number = F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"(\.\d*?)0+$", "$1"))
-    number = F.regexp_replace(F.regexp_replace(number, r"\.$", ""), r"^(-?)0+(?=\d)", "$1")
     pattern = r"^(\d{4})(?:-|/|年)(\d{1,2})(?:-|/|月)(\d{1,2})日?$"
-    part = lambda k: F.lpad(F.regexp_extract(text, pattern, k), 2 if k > 1 else 4, "0")
-    date = F.when(text.rlike(pattern), F.concat_ws("-", part(1), part(2), part(3)))
-    date = F.when(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull(), date)
-    return (
-        F.when(field == "币种", F.coalesce(F.try_element_at(aliases, F.lower(text)), text))
-        .when(field == "数量", F.coalesce(number, text))
-        .when(field == "计划发货日期", F.coalesce(date, text))
-        .otherwise(text)
+
+    def number(text: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"(\.\d*?)0+$", "$1")
+        return F.when(text.rlike(r"^[+-]?\d+(\.\d+)?$"), F.regexp_replace(F.regexp_replace(plain, r"\.$", ""), r"^(-?)0+(?=\d)", "$1"))
+
+    def date(text: Column) -> Column:
+        parts = [F.lpad(F.regexp_extract(text, pattern, k), 2 if k > 1 else 4, "0") for k in (1, 2, 3)]
+        return let(F.when(text.rlike(pattern), F.concat_ws("-", *parts)), lambda d: F.when(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")).isNotNull(), d))
+
+    return let(
+        master_text(value),
+        lambda text: F.when(field == "币种", F.coalesce(F.try_element_at(aliases, F.lower(text)), text))
+        .when(field == "数量", F.coalesce(number(text), text))
+        .when(field == "计划发货日期", F.coalesce(date(text), text))
+        .otherwise(text),
     )
 
 

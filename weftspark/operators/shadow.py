@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspark.functions import sizes as S
-from weftspark.functions.text import audit_text, first_case, plain_number
-from weftspark.operators.dictionary import FABRIC_ORDER, color_candidates, match_fabrics, single_candidate
+from weftspark.functions.text import audit_text, first_case, let, plain_number
+from weftspark.operators.dictionary import FABRIC_ORDER, color_candidates, colors_in, match_fabrics, single_candidate
 from weftspark.sources.dictionaries import Dictionaries
 
 FIELDS = ("币种", "物料名称", "规格", "颜色", "面料", "面料-涤棉成分", "款式", "尺寸类型", "行备注", "是否绣花")
@@ -21,22 +21,26 @@ def _pairs(entries: dict[str, Column]) -> Column:
 
 def fabric_components(text: Column) -> Column:
     """Category, density, composition, yarn, construction, weave, stripe and colour that a text names, as a map."""
-    low = audit_text(text)
+    return let(audit_text(text), _fabric_parts)
+
+
+def _fabric_parts(low: Column) -> Column:
+    """fabric_components of a text in lower case."""
+    # The ways in which yarns, constructions and stripes are written.
     yarn = r"\b(?:j?c|t)?\s*(\d{2,3})\s*s(?:\s*/\s*2)?\s*[x*]\s*(?:j?c|t)?\s*(\d{2,3})\s*s(?:\s*/\s*2)?\b"
     woven = r"(?<!(?:duvet|size|[wl])\s{0,3})\b(\d{2,3})\s*[x*]\s*\(?(\d{2,3})(?!\s*(?:cm|mm|inch|in\b|\"))"
     sides = F.arrays_zip(F.regexp_extract_all(low, F.lit(woven), 1).alias("a"), F.regexp_extract_all(low, F.lit(woven), 2).alias("b"))
     fits = F.filter(sides, lambda s: s["a"].cast("int").between(80, 250) & s["b"].cast("int").between(50, 250))
     stripes = (r"(\d+(?:\.\d+)?)\s*(mm|cm).{0,20}?(?:sateen\s+)?stripes?", r"(?:sateen\s+)?stripes?.{0,20}?(\d+(?:\.\d+)?)\s*(mm|cm)", r"(\d+(?:\.\d+)?)\s*(mm|cm)\s*缎条", r"缎条.{0,20}?(\d+(?:\.\d+)?)\s*(mm|cm)")
     width = lambda p: F.concat(plain_number(F.round(F.regexp_extract(low, p, 1).cast("double") / F.when(F.regexp_extract(low, p, 2) == "mm", 10).otherwise(1), 2)), F.lit("cm"))
-    colors = color_candidates(text)
     return _pairs(
         {
-            "category": S.fabric_family(text), "density": S.thread_density(text), "composition": S.text_composition(text),
+            "category": S.family_in(low), "density": S.density_in(low), "composition": S.composition_in(low),
             "yarn_count": F.when(low.rlike(yarn), F.concat(F.regexp_extract(low, yarn, 1).cast("int"), F.lit("S*"), F.regexp_extract(low, yarn, 2).cast("int"), F.lit("S"))),
             "construction": F.when(F.size(fits) > 0, F.concat(F.get(fits, F.lit(0))["a"].cast("int"), F.lit("*"), F.get(fits, F.lit(0))["b"].cast("int"))),
             "weave": first_case((low.rlike(r"sateen|satin|贡缎|缎纹"), "缎纹"), (low.rlike(r"twill|斜纹"), "斜纹"), (low.rlike(r"percale|plain\s+(?:fabric|woven|weave)|平纹|平布"), "平纹")),
             "stripe_width": first_case(*[(low.rlike(p), width(p)) for p in stripes]),
-            "color": F.get(colors, F.lit(0)),
+            "color": F.get(colors_in(low), F.lit(0)),
         }
     )
 
