@@ -140,6 +140,61 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "m.csv").write_text("\n".join([HEADER, *ROWS]), encoding="utf-8")
     assert run(spark, Namespace(command="parse", workbooks=f"{tmp_path}/books", output=f"{tmp_path}/records", overwrite=False)) == {"records": 3}
     assert run(spark, Namespace(command="build", master_csv=f"{tmp_path}/m.csv", output=f"{tmp_path}/store", overwrite=False))["materials"] == 6
-    assert run(spark, Namespace(command="build-index", store=f"{tmp_path}/store", output=f"{tmp_path}/index", overwrite=False)) == {"vectors": 4}
+    assert run(spark, Namespace(command="build-index", store=f"{tmp_path}/store", output=f"{tmp_path}/index", overwrite=False)) == {"all": 6, "category": 4}
+    top = run(spark, Namespace(command="search-index", index=f"{tmp_path}/index", query="品类:被套", scope="all", top_k=3, encoder=None))["found"]
+    assert len(top) == 3 and top[0]["similarity"] >= top[1]["similarity"]
     found = run(spark, Namespace(command="match-orders", records=f"{tmp_path}/records", store=f"{tmp_path}/store", index=f"{tmp_path}/index", output=f"{tmp_path}/matches", overwrite=False))
     assert sum(found.values()) == 3
+    made = run(spark, Namespace(command="build-review", matches=f"{tmp_path}/matches", records=f"{tmp_path}/records", store=f"{tmp_path}/store", output=f"{tmp_path}/review", overwrite=False))
+    assert made["review"] == 3 and made["materials"] == 6
+
+
+def test_dictionary_commands(spark, tmp_path, books):
+    from argparse import Namespace
+
+    (tmp_path / "books").mkdir()
+    (tmp_path / "books/a.xlsx").write_bytes(workbook([("pi", INVOICE, {"merges": ["B4:D4"]})]))
+    run(spark, Namespace(command="parse", workbooks=f"{tmp_path}/books", output=f"{tmp_path}/records", overwrite=False))
+    own = dict(rules=books[0][0], styles=books[0][1], rules_sha256=books[1][0], styles_sha256=books[1][1], overwrite=False)
+    assert run(spark, Namespace(command="build-preview", output=f"{tmp_path}/preview", **own)) == {"rules": 35, "fabrics": 75, "styles": 105}
+    totals = run(spark, Namespace(command="shadow-compare", records=f"{tmp_path}/records", output=f"{tmp_path}/shadow", **own))
+    assert totals["records"] == 3 and totals["comparisons"] == 30
+    actions = run(spark, Namespace(command="integration-preview", shadow=f"{tmp_path}/shadow", output=f"{tmp_path}/proposals", overwrite=False))
+    assert sum(actions.values()) == 30
+
+
+def test_pointers_are_replaced_in_one_step(spark, tmp_path):
+    for text in ("one", "two"):
+        sinks.write_text(spark, f"{tmp_path}/CURRENT", text)
+        assert sinks.read_text(spark, f"{tmp_path}/CURRENT") == text
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["CURRENT"]
+
+
+def test_encoding_goes_on_behind_what_is_committed(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "id long, text string")
+    done = []
+
+    def encode(df):
+        done.append(df.count())
+        if len(done) == 3:
+            raise RuntimeError("broken off")
+        return df.withColumn("vector", F.array(F.lit(1.0)))
+
+    with pytest.raises(RuntimeError):
+        sinks.encode_missing(texts, encode, f"{tmp_path}/v", "m", chunk_rows=4)
+    kept = spark.read.parquet(f"{tmp_path}/v/identity=m").count()
+    assert kept == sum(done[:2]) > 0
+    assert sinks.encode_missing(texts, encode, f"{tmp_path}/v", "m", chunk_rows=4).count() == 20 and sum(done[3:]) == 20 - kept
+
+
+def test_leases_and_attempts(spark):
+    rows = [
+        ("a", "x", "acquire", "2026-01-01 00:00:00"), ("a", "y", "acquire", "2026-01-01 00:00:10"), ("a", "x", "heartbeat", "2026-01-01 00:00:20"),
+        ("b", "x", "acquire", "2026-01-01 00:00:00"), ("b", "y", "acquire", "2026-01-01 00:00:40"),
+        ("c", "x", "acquire", "2026-01-01 00:00:00"), ("c", "x", "release", "2026-01-01 00:00:05"),
+    ]
+    events = spark.createDataFrame(rows, "unit string, owner string, kind string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.unit: (r.owner, r.expired) for r in states.leases(events, "unit", "owner", "kind", "at", "2026-01-01 00:00:51").collect()}
+    assert got == {"a": ("x", True), "b": ("y", False)}
+    steps = spark.createDataFrame([("a", 1, "transient"), ("b", 1, "transient"), ("b", 2, "transient"), ("b", 3, "transient"), ("c", 1, "failed"), ("d", 1, "running"), ("e", 1, "transient"), ("e", 2, "succeeded")], "unit string, n int, outcome string")
+    assert {r.unit: r.next_step for r in states.next_attempts(steps, ["unit"], ["n"], "outcome", 3).collect()} == {"a": "retry", "b": "failed", "c": "failed", "d": "recover", "e": "done"}

@@ -1,29 +1,12 @@
 """Dictionaries and what they make of source texts."""
 
-import hashlib
-
 import pytest
 from pyspark.sql import functions as F
 
-from tests.workbooks import workbook
 from weftspark.operators import shadow
 from weftspark.sources import dictionaries
 
 
-@pytest.fixture(scope="module")
-def books(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("dictionaries")
-    head = lambda table: list(table[1])
-    rules = [head(dictionaries.RULES), ["物料名称", "被套", "duvet cover", "", ""]]
-    fabrics = [head(dictionaries.FABRICS), ["贡缎", "贡缎 60S*40S", "漂白色", "100%棉", "T300"], [None, "缎条 3cm", "漂白色", "C50/T50", "T250"], ["斜纹", "斜纹 灰", "灰色", "100C", "T300"]]
-    styles = [head(dictionaries.STYLES), ["无飞边口袋无系带式", "无飞边", "无系带", "无拉链", "是", "否", "", ""], ["无飞边口袋有系带式", "无飞边", "有系带", "无拉链", "是", "否", "", ""], ["无飞边平口信封迎宾式", "无飞边", "无系带", "无拉链", "否", "是", "", ""], ["无飞边口袋无系带式 牙条", "无飞边", "无系带", "无拉链", "是", "否", "牙条", ""]]
-    files = {"rules.xlsx": workbook([("被套 提取规则", rules, {}), ("面料类价格表", fabrics, {"merges": ["A2:A3"]})]), "styles.xlsx": workbook([("Sheet1", styles, {})])}
-    for name, data in files.items():
-        (path / name).write_bytes(data)
-    hashes = [hashlib.sha256(d).hexdigest() for d in files.values()]
-    return [f"{path}/{n}" for n in files], hashes
-
-
 @pytest.fixture(scope="module")
 def loaded(spark, books):
     return dictionaries.load(spark, *books[0], *books[1])

@@ -21,7 +21,8 @@ def _raw(json: Column, key: str) -> Column:
     return F.to_json(F.try_variant_get(F.try_parse_json(json), f'$["{key}"]', "variant"))
 
 
-def _checks(json: Column, schema: Schema, path: str, depth: int = 0) -> list[Column]:
+def checks(json: Column, schema: Schema, path: str, depth: int = 0) -> list[Column]:
+    """For each rule of a schema what is wrong with a JSON text, null where it is kept."""
     kind = schema["type"]
     wrong = _kind(json) != kind if kind != "number" else ~_kind(json).isin("number", "integer")
     out = [F.when(wrong, F.lit(f"{path}: {kind} expected"))]
@@ -42,13 +43,13 @@ def _checks(json: Column, schema: Schema, path: str, depth: int = 0) -> list[Col
         out.append(F.when(sound & (F.size(extra) > 0), F.concat(F.lit(f"{path}: unknown keys "), F.array_join(F.array_sort(extra), ","))))
         for key, part in own.items():
             value = _raw(json, key)
-            out += [F.when(sound & value.isNotNull(), c) for c in _checks(value, part, f"{path}.{key}", depth)]
+            out += [F.when(sound & value.isNotNull(), c) for c in checks(value, part, f"{path}.{key}", depth)]
     if kind == "array":
         items = F.transform(F.try_variant_get(F.try_parse_json(json), "$", "array<variant>"), lambda v: F.to_json(v))
         if "min_items" in schema:
             out.append(F.when(sound & (F.size(items) < schema["min_items"]), F.lit(f"{path}: too few items")))
         if "items" in schema and depth < _MOST_ITEMS_DEPTH:
-            found = F.flatten(F.transform(items, lambda v: F.array_compact(F.array(*_checks(v, schema["items"], f"{path}[]", depth + 1)))))
+            found = F.flatten(F.transform(items, lambda v: F.array_compact(F.array(*checks(v, schema["items"], f"{path}[]", depth + 1)))))
             out.append(F.when(sound, F.get(found, F.lit(0))))
     return out
 
@@ -57,8 +58,8 @@ def violations(df: DataFrame, key: list[str], column: str, schema: Schema) -> Da
     """One row per broken rule: the key columns and what is wrong where; of an array's items the first breach is named."""
     json = F.col(column)
     valid = F.try_parse_json(json).isNotNull()
-    checks = F.when(~valid | json.isNull(), F.array(F.lit("$: no JSON"))).otherwise(F.array_compact(F.array(*_checks(json, schema, "$"))))
-    return df.select(*key, F.explode(checks).alias("violation"))
+    wrong = F.when(~valid | json.isNull(), F.array(F.lit("$: no JSON"))).otherwise(F.array_compact(F.array(*checks(json, schema, "$"))))
+    return df.select(*key, F.explode(wrong).alias("violation"))
 
 
 def broken(df: DataFrame, key: list[str], rules: dict[str, Column], name: str = "rule") -> DataFrame:

@@ -60,6 +60,23 @@ def category_counts(master: DataFrame) -> DataFrame:
     return master.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("source_row").alias("first_row")).orderBy(F.desc("n"), "first_row")
 
 
+def unrecognised(master: DataFrame, most: int = 100) -> DataFrame:
+    """The first materials, by source row, of which neither category nor name tells the kind: a report of bounded size."""
+    nothing = (F.col("product_category") == "") & (other_product(F.col("raw")["物料名称"]) == "")
+    return master.filter(nothing).select("source_row", "material_code").orderBy("source_row", "material_code").limit(most)
+
+
+def style_counts(master: DataFrame) -> DataFrame:
+    """One row: materials, and those without a style."""
+    return master.agg(F.count(F.lit(1)).alias("materials"), F.count_if(F.col("style") == "").alias("empty_style"))
+
+
+def write_documents(master: DataFrame, path: str, overwrite: bool = False) -> None:
+    """The documents as JSON lines, ordered by source row within files that follow one another."""
+    lines = master.repartitionByRange("source_row").sortWithinPartitions("source_row")
+    documents(lines).write.mode("overwrite" if overwrite else "errorifexists").text(path)
+
+
 def spec_formats(master: DataFrame) -> DataFrame:
     spec = F.col("spec")
     form = first_case((spec == "", "empty"), (F.contains(spec, F.lit("+")), "size_with_extension"), (F.contains(spec, F.lit("*")) & spec.endswith("cm"), "cm_size"), otherwise="other")

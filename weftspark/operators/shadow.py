@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import sizes as S
 from weftspark.functions.text import audit_text, first_case, let, plain_number
-from weftspark.operators.dictionary import FABRIC_ORDER, color_candidates, colors_in, match_fabrics, single_candidate
+from weftspark.operators.dictionary import FABRIC_ORDER, STATUSES, color_candidates, colors_in, match_fabrics, single_candidate
 from weftspark.sources.dictionaries import Dictionaries
 
 FIELDS = ("币种", "物料名称", "规格", "颜色", "面料", "面料-涤棉成分", "款式", "尺寸类型", "行备注", "是否绣花")
+# The fields that are validated for a product.
+VALIDATED = ("币种", "物料名称", "规格", "颜色")
 MAP = "map<string,string>"
 
 
@@ -234,4 +236,25 @@ def _compare_styles(rows: DataFrame, styles: DataFrame) -> DataFrame:
 
 def validated(compared: DataFrame) -> DataFrame:
     """The four fields that are validated for a product, with the action that follows."""
-    return compared.filter(F.col("field").isin("币种", "物料名称", "规格", "颜色")).withColumn("action", F.when(F.col("status").isin("ambiguous", "conflict", "partial_match"), "manual_review").otherwise("keep"))
+    return compared.filter(F.col("field").isin(*VALIDATED)).withColumn("action", F.when(F.col("status").isin("ambiguous", "conflict", "partial_match"), "manual_review").otherwise("keep"))
+
+
+def _every_field(fields: tuple[str, ...], df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """One row per field, in its place, with these counts; zero for a field that does not occur."""
+    every = df.sparkSession.createDataFrame([(n, f) for n, f in enumerate(fields)], "place int, field string")
+    found = df.groupBy("field").agg(*[c.alias(n) for n, c in counts.items()])
+    return every.join(found, "field", "left").na.fill(0, list(counts)).select("place", "field", *counts)
+
+
+def summary(compared: DataFrame, fields: tuple[str, ...] = FIELDS) -> dict[str, DataFrame]:
+    """Of a comparison: `fields`, statuses per field; `totals`, over all fields; `open`, what a person has to look at."""
+    counts = {s: F.count_if(F.col("status") == s) for s in STATUSES}
+    inside = compared.filter(F.col("field").isin(*fields))
+    totals = inside.agg(F.count_distinct("record_id").alias("records"), F.count(F.lit(1)).alias("comparisons"), *[c.alias(n) for n, c in counts.items()])
+    return {"fields": _every_field(fields, inside, counts), "totals": totals, "open": inside.filter(F.col("status").isin("conflict", "ambiguous", "more_specific"))}
+
+
+def validation_summary(checked: DataFrame) -> DataFrame:
+    """Of validated fields (status and action): how often each status and each action occurs, per field."""
+    counts = {s: F.count_if(F.col("status") == s) for s in STATUSES} | {a: F.count_if(F.col("action") == a) for a in ("keep", "manual_review")}
+    return _every_field(VALIDATED, checked, counts)

@@ -55,3 +55,54 @@ def number_gaps(df: DataFrame, number: str) -> DataFrame:
     if low is None:
         return df.sparkSession.range(0).select(F.col("id").alias(number))
     return df.sparkSession.range(int(low), int(high) + 1).select(F.col("id").alias(number)).join(df.select(F.col(number).cast("bigint").alias(number)), number, "left_anti")
+
+
+def leases(events: DataFrame, key: str, owner: str, kind: str, at: str, now: str, seconds: int = 30) -> DataFrame:
+    """Per key who holds its lease at `now`: owner, since, last_beat and expired; keys that were released last have no row.
+
+    kind is acquire, heartbeat or release.  An acquisition counts if nobody holds the lease then or its last sign of life is
+    older than `seconds`; heartbeats and releases count only from the owner whose acquisition is the latest.
+    """
+    moment = F.unix_micros(F.col(at).cast("timestamp"))
+    order = Window.partitionBy(key).orderBy(at, owner)
+    rows = events.withColumn("_t", moment)
+    last = F.max(F.when(F.col(kind) != "release", F.col("_t"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    free = last.isNull() | (F.col("_t") - last > seconds * 1_000_000) | (F.lag(kind).over(order) == "release")
+    same = F.lag(owner).over(order) == F.col(owner)
+    rows = rows.withColumn("_taken", (F.col(kind) == "acquire") & (free | same))
+    holder = F.last(F.when(F.col("_taken"), F.col(owner)), ignorenulls=True).over(order)
+    rows = rows.withColumns({"_holder": holder, "_since": F.max(F.when(F.col("_taken"), F.col("_t"))).over(order)})
+    own = rows.filter(F.col("_holder") == F.col(owner)).groupBy(key).agg(F.max_by(kind, "_t").alias("_kind"), F.max_by(owner, "_t").alias("owner"), F.max("_since").alias("_since"), F.max("_t").alias("_beat"))
+    late = F.unix_micros(F.lit(now).cast("timestamp")) - F.col("_beat") > seconds * 1_000_000
+    return own.filter("_kind <> 'release'").select(key, "owner", F.timestamp_micros("_since").alias("since"), F.timestamp_micros("_beat").alias("last_beat"), late.alias("expired"))
+
+
+def next_attempts(outcomes: DataFrame, key: list[str], order: list[str], outcome: str, most: int) -> DataFrame:
+    """Per key what is to be done next: its attempts so far and next_step (done, retry, failed or recover).
+
+    outcome is succeeded, transient, failed or running; a unit whose last word is running was abandoned and is taken up again
+    as long as attempts are left.
+    """
+    last = F.max_by(outcome, F.struct(*order))
+    out = outcomes.groupBy(*key).agg(F.count_if(F.col(outcome) != "running").alias("attempts"), last.alias("_last"), F.bool_or(F.col(outcome) == "succeeded").alias("_done"))
+    left = F.col("attempts") < most
+    step = F.when(F.col("_done"), "done").when(F.col("_last") == "failed", "failed").when(~left, "failed").when(F.col("_last") == "running", "recover").otherwise("retry")
+    return out.select(*key, "attempts", step.alias("next_step"))
+
+
+def revalidated(cached: DataFrame, identity: str, payload: str, digest: str, wanted: DataFrame, sound) -> DataFrame:
+    """What a content-addressed cache has of the wanted identities, read as if it were new: results whose payload no longer
+    has the digest it was stored under, or that `sound` (payload column -> condition) refuses, are left out and made again."""
+    fits = (F.sha2(F.col(payload), 256) == F.col(digest)) & F.coalesce(sound(F.col(payload)), F.lit(False))
+    return cached.join(wanted.select(identity).distinct(), identity, "left_semi").filter(fits)
+
+
+#: Decisions of a match, and what a job's overview calls them.
+JOB_STATUSES = {"unique_best_candidate": "recommended", "ranked_candidates": "choose", "ambiguous_tie": "choose", "insufficient_evidence": "incomplete", "no_candidate": "none"}
+
+
+def job_summary(decisions: DataFrame, job: str = "job", decision: str = "decision") -> DataFrame:
+    """Per job the number of its records by what has to be done about them."""
+    names = F.create_map(*[F.lit(x) for pair in JOB_STATUSES.items() for x in pair])
+    status = F.coalesce(F.try_element_at(names, F.col(decision)), F.lit("none"))
+    return decisions.withColumn("_s", status).groupBy(job).agg(F.count(F.lit(1)).alias("records"), *[F.count_if(F.col("_s") == s).alias(s) for s in dict.fromkeys(JOB_STATUSES.values())])

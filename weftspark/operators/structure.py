@@ -43,6 +43,76 @@ def blocks(cells: DataFrame) -> DataFrame:
     return found.withColumn("scope_id", F.concat(F.lit("scope:"), short_hash(F.col("sha256"), F.col("sheet_idx"), F.col("first_row"), F.col("last_row"))))
 
 
+def aligned_blocks(cells: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Blocks of sheets whose tables are known: geometry has, per sheet, header_rows and record_rows (arrays of row numbers).
+
+    A sheet gives a block only if it has both, no record row twice, something in its header rows, and in column A of every
+    record row a number of its own, not a merged one.
+    """
+    sparse = sparse_cells(cells)
+    own_number = (F.col("col") == 1) & F.trim(shown_text()).rlike(r"^\d+(\.0)?$") & (F.col("anchor").isNull() | (F.col("anchor") == F.col("ref")))
+    at = [*SHEET, "row"]
+    lacking = geometry.select(*SHEET, F.explode("record_rows").alias("row")).join(sparse.filter(own_number).select(*at), at, "left_anti")
+    headed = geometry.select(*SHEET, F.explode("header_rows").alias("row")).join(sparse.select(*at), at, "left_semi")
+    sound = (F.size("header_rows") > 0) & (F.size("record_rows") > 0) & (F.size(F.array_distinct("record_rows")) == F.size("record_rows"))
+    names = cells.groupBy(*SHEET).agg(F.first("sha256").alias("sha256"), F.first("sheet").alias("sheet"))
+    found = geometry.filter(sound).join(lacking.select(*SHEET).distinct(), SHEET, "left_anti").join(headed.select(*SHEET).distinct(), SHEET, "left_semi").join(names, SHEET)
+    found = found.withColumns({"first_row": F.array_min("record_rows"), "last_row": F.array_max("record_rows"), "records": F.size("record_rows").cast("bigint")})
+    return found.withColumn("scope_id", F.concat(F.lit("scope:"), short_hash(F.col("sha256"), F.col("sheet_idx"), F.array_join(F.col("record_rows").cast("array<string>"), ","))))
+
+
+def layout_candidates(cells: DataFrame, found: DataFrame, recs: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """What a sheet may be, for someone to choose from: candidate_id, role, scope_ids, record_ids and ranges.
+
+    A sheet with blocks may be an order of all of them; of the sheets in `unresolved` (whose table could not be read) those
+    without a block may be auxiliary.  The id follows from the contents alone.
+    """
+    area = lambda a, b, c, d: F.concat(column_letters(F.col(a)), F.col(b).cast("string"), F.lit(":"), column_letters(F.col(c)), F.col(d).cast("string"))
+    width = used_bounds(cells).withColumn("_area", area("min_col", "min_row", "max_col", "max_row"))
+    ids = recs.groupBy(*SHEET).agg(F.array_sort(F.collect_set("record_id")).alias("record_ids"))
+    spans = found.join(width, SHEET).withColumn("_range", area("min_col", "first_row", "max_col", "last_row"))
+    orders = spans.groupBy(*SHEET).agg(F.array_sort(F.collect_set("scope_id")).alias("scope_ids"), F.transform(F.array_sort(F.collect_list(F.struct("first_row", "_range"))), lambda r: r["_range"]).alias("ranges")).join(ids, SHEET, "left")
+    none = F.array().cast("array<string>")
+    others = unresolved.select(*SHEET).distinct().join(found.select(*SHEET), SHEET, "left_anti").join(width, SHEET).select(*SHEET, none.alias("scope_ids"), F.array("_area").alias("ranges"), none.alias("record_ids"))
+    both = orders.select(*SHEET, F.lit("order").alias("role"), "scope_ids", "ranges", F.coalesce("record_ids", none).alias("record_ids")).unionByName(others.select(*SHEET, F.lit("auxiliary").alias("role"), "scope_ids", "ranges", "record_ids"))
+    source = cells.groupBy(*SHEET).agg(F.first("sha256").alias("sha256"))
+    identity = short_hash(F.col("sha256"), F.col("sheet_idx"), F.col("role"), *[F.array_join(c, ",") for c in ("scope_ids", "record_ids", "ranges")])
+    return both.join(source, SHEET).withColumn("candidate_id", F.concat(F.lit("layout:"), identity)).drop("sha256")
+
+
+#: Bounds of what is shown of a sheet that nobody could read: rows, cells of a row, excerpts.
+CONTEXT_ROWS, CONTEXT_CELLS, CONTEXT_EXCERPTS = 8, 4, 32
+
+
+def bounded_excerpts(cells: DataFrame) -> DataFrame:
+    """Per sheet a report of bounded size: the first filled cells of its first rows, cut to EXCERPT characters.  Rows that
+    speak of accounts or payment are left out."""
+    shown = sparse_cells(cells).withColumn("_shown", collapse(shown_text())).filter("_shown <> ''")
+    words = F.array(*[F.lit(w) for w in SENSITIVE_LABELS])
+    row = Window.partitionBy(*SHEET, "row")
+    telling = F.max(F.exists(words, lambda w: F.contains(F.lower("_shown"), w))).over(row)
+    fit = shown.withColumn("_telling", telling).filter("not _telling")
+    fit = fit.withColumns({"_cell": F.row_number().over(row.orderBy("col")), "_row": F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("row"))})
+    fit = fit.filter((F.col("_cell") <= CONTEXT_CELLS) & (F.col("_row") <= CONTEXT_ROWS))
+    fit = fit.withColumn("_n", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row", "col"))).filter(F.col("_n") <= CONTEXT_EXCERPTS)
+    return fit.select(*SHEET, "row", "ref", F.left("_shown", F.lit(EXCERPT)).alias("excerpt"))
+
+
+def diagnostics(cells: DataFrame, found: DataFrame, items: DataFrame, recs: DataFrame) -> DataFrame:
+    """Per file: its sheets, those shown, filled and hidden cells, blocks, records and evidence, summed up."""
+    hidden = F.col("hidden") | (F.col("visibility") != "visible")
+    filled = (F.col("text") != "") | (F.col("formula") != "")
+    out = cells.groupBy("file").agg(
+        F.count_distinct("sheet_idx").alias("sheets"),
+        F.count_distinct(F.when(F.col("visibility") == "visible", F.col("sheet_idx"))).alias("shown_sheets"),
+        F.count_if(filled).alias("filled_cells"),
+        F.count_if(filled & hidden).alias("hidden_cells"),
+    )
+    for name, df in (("blocks", found), ("records", recs), ("evidence", items)):
+        out = out.join(df.groupBy("file").agg(F.count(F.lit(1)).alias(name)), "file", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def shown_text() -> Column:
     """A cell's text, or its formula where it shows none."""
     return F.when(F.col("text") != "", F.col("text")).otherwise(F.col("formula"))

@@ -20,6 +20,18 @@ def column_audit(df: DataFrame, columns: list[str], key: str | None = None) -> D
     return out.withColumn("is_key", F.col("column_name") == F.lit(key)) if key else out
 
 
+def row_audit(df: DataFrame, columns: list[str], key: str, width: str | None = None, wanted_width: int | None = None) -> DataFrame:
+    """One row: rows, values of the key that repeat, rows that repeat as a whole, and rows of another width than wanted."""
+    same = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    filled = df.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+    keys = filled.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
+    odd = F.count_if(F.col(width) != wanted_width) if width else F.lit(0).cast("bigint")
+    one = df.agg(F.count(F.lit(1)).alias("rows"), odd.alias("invalid_width"))
+    for part in (keys, same):  # one row each
+        one = one.withColumn("_", F.lit(1)).join(part.withColumn("_", F.lit(1)), "_").drop("_")
+    return one
+
+
 def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
     """The n most frequent values that are not empty, equal counts by value: a top-k report."""
     return df.filter(F.coalesce(F.col(column).cast("string"), F.lit("")) != "").groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(n)

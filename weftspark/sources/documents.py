@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftspark.contracts import FORMAL_FIELDS, FORMAL_SCHEMA
 from weftspark.operators.sheets import SHEET
 
+# What the names of results and reports may end in.
+STEM_ENDINGS = r"(_parse_report|_result|_gate2d)$"
 DOCUMENT_SCHEMA = "id string, text string, metadata map<string,string>"
 
 
@@ -92,15 +94,26 @@ def paired_records(spark: SparkSession, results: str, reports: str) -> DataFrame
 
 
 def by_stem(spark: SparkSession, **folders: str) -> DataFrame:
-    """One row per stem of file names with the path in each folder, null where it is missing."""
+    """One row per stem of file names with the path in each folder, null where it is missing.
+
+    A file of the plain name outranks one with an ending that marks a result.
+    """
     out = None
     for name, folder in folders.items():
-        stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1), r"(_parse_report|_result)$", "")
-        own = spark.read.format("binaryFile").load(folder).select(stem.alias("stem"), F.col("path").alias(name))
+        whole = F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)
+        stem = F.regexp_replace(whole, STEM_ENDINGS, "")
+        files = spark.read.format("binaryFile").load(folder).select(stem.alias("stem"), (whole != stem).alias("marked"), "path")
+        own = files.groupBy("stem").agg(F.min_by("path", F.struct("marked", "path")).alias(name))
         out = own if out is None else out.join(own, "stem", "full_outer")
     return out
 
 
+def by_line(artifacts: DataFrame, lines: DataFrame, line: str = "line") -> DataFrame:
+    """The rows of an artifact whose line number is asked for, white space and a trailing .0 aside; several are all given."""
+    plain = F.regexp_replace(F.trim(F.col(line).cast("string")), r"\.0$", "")
+    return artifacts.withColumn("_line", plain).join(lines.select(plain.alias("_line")).distinct(), "_line", "left_semi").drop("_line")
+
+
 def sheet_table(cells: DataFrame, sheet: str, header: list[str]) -> DataFrame:
     """The rows of a sheet below its first, columns by header; an error if the header differs.  Empty rows are left out."""
     own = cells.filter(F.col("sheet") == sheet)

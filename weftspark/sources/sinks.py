@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark.session import stored
+
 
 class PublicationError(RuntimeError):
     """Something is in the way of a publication."""
@@ -41,16 +45,35 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise PublicationError(f"{source} could not become {target}")
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, complete or not there: written beside its place, then renamed."""
-    fs, where = _path(spark, path)
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file onto another one in one step: at no time is there no target."""
+    jvm = spark.sparkContext._jvm
+    fs, to = _path(spark, target)
+    fs.mkdirs(to.getParent())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(_path(spark, source)[1]), context.makeQualified(to), how)
+
+
+def write_text(spark: SparkSession, path: str, text: str, attempts: int = 3) -> None:
+    """A small file, complete or as it was before: written beside its place, then renamed onto it; tried again if a store
+    fails in passing."""
+    fs, _ = _path(spark, path)
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    out = fs.create(_path(spark, beside)[1], True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    if fs.exists(where):
-        fs.delete(where, False)
-    rename(spark, beside, path)
+    for attempt in range(attempts):
+        try:
+            out = fs.create(_path(spark, beside)[1], True)
+            out.write(bytearray(text.encode("utf-8")))
+            out.close()
+            replace(spark, beside, path)
+            return
+        except Py4JJavaError:
+            if attempt == attempts - 1:
+                remove(spark, beside)
+                raise
+            time.sleep(0.2 * 2**attempt)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -113,24 +136,38 @@ def current_bundle(spark: SparkSession, root: str) -> str | None:
     return read_text(spark, f"{root}/CURRENT").strip() if exists(spark, f"{root}/CURRENT") else None
 
 
-def encode_missing(texts: DataFrame, encode, path: str, identity: str, key: str = "id", text: str = "text") -> DataFrame:
-    """Vectors of all texts, encoding only those that path/identity=... doesn't have yet; a broken run goes on from there."""
+#: Texts that are encoded and committed together.
+CHUNK_ROWS = 200_000
+
+
+def encode_missing(texts: DataFrame, encode, path: str, identity: str, key: str = "id", text: str = "text", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Vectors of all texts, encoding only those that path/identity=... doesn't have yet.
+
+    Texts are encoded chunk by chunk, and each chunk is committed before the next one starts: what a broken run has
+    finished stays, and the next run goes on behind it.
+    """
     spark = texts.sparkSession
     folder = f"{path}/identity={identity}"
-    if exists(spark, folder):
-        done = spark.read.parquet(folder)
-        todo = texts.join(done.select(key, F.col("text_sha256")), [key], "left").filter(F.col("text_sha256").isNull() | (F.col("text_sha256") != F.sha2(text, 256))).select(*texts.columns)
-    else:
-        todo = texts
-    coded = encode(todo).withColumn("text_sha256", F.sha2(text, 256)).drop(text)
-    coded.write.mode("append").parquet(folder)
-    stored = spark.read.parquet(folder)
-    return stored.join(texts.select(key, F.sha2(text, 256).alias("text_sha256")), [key, "text_sha256"], "left_semi")
+    wanted = texts.withColumn("text_sha256", F.sha2(text, 256))
+
+    def todo() -> DataFrame:
+        return wanted.join(spark.read.parquet(folder).select(key, "text_sha256"), [key, "text_sha256"], "left_anti") if exists(spark, folder) else wanted
+
+    chunks = max(1, -(-todo().count() // chunk_rows))
+    for k in range(chunks):
+        part = todo().filter(F.pmod(F.xxhash64(key), F.lit(chunks)) == k).select(*texts.columns)
+        encode(part).withColumn("text_sha256", F.sha2(text, 256)).drop(text).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).join(wanted.select(key, "text_sha256"), [key, "text_sha256"], "left_semi")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """path and SHA-256 of every file, written out, so that it stays what it is now."""
+    return stored(spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256")), "hashes")
 
 
-def unchanged(spark: SparkSession, path: str, before: dict[str, str] | None = None) -> dict[str, str]:
-    """SHA-256 of every file at path; with `before`, an error if any differs."""
-    now = {r["path"]: r["h"] for r in spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h")).toLocalIterator()}
-    if before is not None and now != before:
+def unchanged(spark: SparkSession, path: str, before: DataFrame | None = None) -> DataFrame:
+    """SHA-256 of every file at path (see file_hashes); with `before`, an error if any file differs, is new or is gone."""
+    now = file_hashes(spark, path)
+    if before is not None and before.exceptAll(now).union(now.exceptAll(before)).limit(1).count():
         raise PublicationError(f"inputs at {path} changed")
     return now
