@@ -7,6 +7,7 @@ import pytest
 
 import weftspark.plans.domain_queries  # noqa: F401  registers its queries
 import weftspark.plans.field_queries  # noqa: F401
+import weftspark.plans.run_queries  # noqa: F401
 import weftspark.plans.sheet_queries  # noqa: F401
 from weftspark.plans.queries import ORACLE_SQL, QUERIES
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,21 +63,32 @@ def number_gaps(df: DataFrame, number: str) -> DataFrame:
 def leases(events: DataFrame, key: str, owner: str, kind: str, at: str, now: str, seconds: int = 30) -> DataFrame:
     """Per key who holds its lease at `now`: owner, since, last_beat and expired; keys that were released last have no row.
 
-    kind is acquire, heartbeat or release.  An acquisition counts if nobody holds the lease then or its last sign of life is
-    older than `seconds`; heartbeats and releases count only from the owner whose acquisition is the latest.
+    kind is acquire, heartbeat or release.  An acquisition counts if nobody holds the lease then, or its holder gave no sign
+    of life for more than `seconds`; from then on only the holder's events count.  Who holds a lease depends on all events
+    before, so each key's events are read in order, without being gathered.
     """
-    moment = F.unix_micros(F.col(at).cast("timestamp"))
-    order = Window.partitionBy(key).orderBy(at, owner)
-    rows = events.withColumn("_t", moment)
-    last = F.max(F.when(F.col(kind) != "release", F.col("_t"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    free = last.isNull() | (F.col("_t") - last > seconds * 1_000_000) | (F.lag(kind).over(order) == "release")
-    same = F.lag(owner).over(order) == F.col(owner)
-    rows = rows.withColumn("_taken", (F.col(kind) == "acquire") & (free | same))
-    holder = F.last(F.when(F.col("_taken"), F.col(owner)), ignorenulls=True).over(order)
-    rows = rows.withColumns({"_holder": holder, "_since": F.max(F.when(F.col("_taken"), F.col("_t"))).over(order)})
-    own = rows.filter(F.col("_holder") == F.col(owner)).groupBy(key).agg(F.max_by(kind, "_t").alias("_kind"), F.max_by(owner, "_t").alias("owner"), F.max("_since").alias("_since"), F.max("_t").alias("_beat"))
-    late = F.unix_micros(F.lit(now).cast("timestamp")) - F.col("_beat") > seconds * 1_000_000
-    return own.filter("_kind <> 'release'").select(key, "owner", F.timestamp_micros("_since").alias("since"), F.timestamp_micros("_beat").alias("last_beat"), late.alias("expired"))
+    rows = events.select(F.col(key).cast("string").alias("k"), F.col(owner).cast("string").alias("o"), F.col(kind).alias("e"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = None, None
+        for batch in batches:
+            out = []
+            for k, o, e, t in batch.itertuples(index=False):
+                if k != current:
+                    if held:
+                        out.append((current, *held))
+                    current, held = k, None
+                if e == "acquire" and (held is None or t - held[2] > seconds * 1_000_000):
+                    held = (o, t, t)
+                elif held and held[0] == o:
+                    held = None if e == "release" else (o, held[1], t)
+            yield pd.DataFrame(out, columns=["k", "owner", "since", "beat"])
+        if held:
+            yield pd.DataFrame([(current, *held)], columns=["k", "owner", "since", "beat"])
+
+    found = rows.repartition("k").sortWithinPartitions("k", "t", "o").mapInPandas(follow, "k string, owner string, since long, beat long")
+    late = F.unix_micros(F.lit(now).cast("timestamp")) - F.col("beat") > seconds * 1_000_000
+    return found.select(F.col("k").cast(events.schema[key].dataType).alias(key), "owner", F.timestamp_micros("since").alias("since"), F.timestamp_micros("beat").alias("last_beat"), late.alias("expired"))
 
 
 def next_attempts(outcomes: DataFrame, key: list[str], order: list[str], outcome: str, most: int) -> DataFrame:
