@@ -59,6 +59,19 @@ def test_substrings_of_runs_and_hot_passages(spark, monkeypatch):
     assert len(one) < 100 and one["multi"].any()  # a run is one suffix, but for its ends
 
 
+def test_sql_of_the_queries(spark, folder):
+    duckdb = pytest.importorskip("duckdb")
+    sql = duckdb.connect()
+    for name in ("documents", "benchmark", "labels"):
+        sql.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    assert set(queries.ORACLE_SQL) == {"op2_substrings", "op6_decontaminate", "op7_lines"}
+    for name, text in queries.ORACLE_SQL.items():
+        want = sql.execute(text)
+        columns = [c[0] for c in want.description]
+        got = ordered(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, folder).collect())
+        assert got == ordered(want.fetchall()), name
+
+
 @pytest.mark.parametrize("small", [1, 64])
 def test_multikey_sort_orders_and_groups(monkeypatch, small):
     monkeypatch.setattr(substrings, "SMALL", small)

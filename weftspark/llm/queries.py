@@ -47,6 +47,21 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The bytes as hexadecimal text, cut into pieces that overlap by 49 bytes, so that no window is far from its piece's start.
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, s, substr(h, 2 * s + 1, 2098) AS x FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2, 1), 1000)) AS s FROM d)),
+w AS (SELECT r, doc_id, s + i AS pos, substr(x, 2 * i + 1, 100) AS win FROM (SELECT *, unnest(range(0, least(1000, length(x) // 2 - 49))) AS i FROM p WHERE length(x) >= 100)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win HAVING min(doc_id) < max(doc_id)),
+t AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 50 THEN 0 ELSE 1 END AS fresh FROM w JOIN f ON w.win = f.win WHERE w.doc_id > f.first),
+m AS (SELECT r, min(pos) AS a, max(pos) + 50 AS b FROM (SELECT r, pos, sum(fresh) OVER (PARTITION BY r ORDER BY pos) AS k FROM t) GROUP BY r, k),
+e AS (SELECT m.*, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM m),
+g AS (SELECT e.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(b) AS behind, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM e JOIN d ON e.r = d.r GROUP BY e.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN front IS NULL THEN h ELSE front || substr(h, 2 * behind + 1) END)) AS kept_sha256
+FROM d LEFT JOIN g ON d.r = g.r
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language.fit(docs, F.col("doc_id").isNotNull() & ~language.held_out("doc_id", 4, 2))
@@ -172,4 +187,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": OP6_SQL, "op7_lines": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substrings": OP2_SQL, "op6_decontaminate": OP6_SQL, "op7_lines": OP7_SQL}
