@@ -185,6 +185,8 @@ def links(distinct: DataFrame, hot_list: int = HOT_LIST) -> DataFrame:
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     marked = stored(postings.join(lists, "key").select("key", "fingerprint", (F.col("members") > hot_list).alias("hot")), "postings")
     short = _search(marked.filter("not hot").select("key", F.lit(0).alias("free"), "fingerprint"))
+    if not marked.filter("hot").limit(1).count():
+        return short.distinct()
     finer = []
     for i, t in enumerate(TRIPLES):
         others = [p for p in range(8) if p not in t]
