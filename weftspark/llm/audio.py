@@ -203,15 +203,17 @@ def align(prints: DataFrame, every: int = 50, least_votes: int = LEAST_VOTES) ->
 
     Blocks of queries meet blocks of classes, each pair of blocks at all offsets: the work is the product of their numbers.
     """
-    prints = stored(prints, "prints")
-    classes = prints.groupBy("prints").agg(F.min("id").alias("class_id"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asked"))
+    digest = F.md5(F.array_join(F.col("prints").cast("array<string>"), ",").cast("binary"))  # a short key for equal integers
+    prints = stored(prints.withColumn("digest", digest), "prints")
+    is_query = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    classes = prints.groupBy("digest").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asked"), F.any_value("prints").alias("prints"))
     classes = stored(classes, "classes")
     kind = classes.schema["class_id"].dataType.simpleString()
     able = classes.filter((F.size("prints") >= LEAST_OVERLAP) & F.col("class_id").isNotNull())
     size = F.size("prints").cast("bigint") * 4
     total = able.agg(F.sum(F.when(F.col("asked"), size)), F.sum(size)).first()
     q_blocks, c_blocks = max(1, -(-(total[0] or 0) // QUERY_BYTES)), max(1, -(-(total[1] or 0) // CLASS_BYTES))
-    block = lambda n: F.pmod(F.xxhash64("prints"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = able.select("class_id", "prints", block(c_blocks).alias("cb")).withColumn("qb", every_block(q_blocks))
     right = able.filter("asked").select(F.col("class_id").alias("query"), "prints", block(q_blocks).alias("qb")).withColumn("cb", every_block(c_blocks))
@@ -232,9 +234,8 @@ def align(prints: DataFrame, every: int = 50, least_votes: int = LEAST_VOTES) ->
 
     links = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(compare, f"query {kind}, n_links bigint, bit_error double, class_id {kind}, shift int")
     found = links.groupBy("query").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("bit_error", "class_id", "shift")).alias("top"))
-    named = classes.select("prints", "class_id").join(found, F.col("class_id") == F.col("query"), "left")
-    is_query = F.coalesce(F.col("id") % every == 0, F.lit(False))
-    return prints.join(named, "prints").select(
+    named = classes.select("digest", "class_id").join(found, F.col("class_id") == F.col("query"), "left")
+    return prints.join(named, "digest").select(
         "id",
         "prints",
         "class_id",

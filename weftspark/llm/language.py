@@ -8,7 +8,7 @@ prediction is the language of the largest proportion in the chosen set, and that
 
 Edge cases: a text that is null or has no letter is `und` with score 0 and no proportions; equal proportions go to the
 language that sorts first; rows without language or id are not learnt from, yet predicted; rows that repeat count in
-training as often as they occur; without any training row every text is `und`; other columns pass through, whatever
+training as often as they occur; a language column with more than MOST_LANGUAGES values is an error; without any training row every text is `und`; other columns pass through, whatever
 their names.
 """
 
@@ -35,6 +35,8 @@ PENALTY = 3.0
 #: Proportions below this are not reported and do not enter the search for the set.
 LEAST_SHARE = 0.02
 UNDETERMINED = "und"
+#: Languages that a model may have: a column with more values is none of languages, and would make the model grow with it.
+MOST_LANGUAGES = 1024
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes to themselves if they may belong to a letter, A-Z to a-z, others to a space.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -77,6 +79,9 @@ def fit(docs: DataFrame, usable: Column, text: str = "text", lang: str = "lang")
     small_batches(docs.sparkSession)
     rows = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
 
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MOST_LANGUAGES} values")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
