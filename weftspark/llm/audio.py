@@ -42,7 +42,7 @@ LEAST_VOTES, LEAST_OVERLAP, MOST_ERRORS = 2, 16, 0.25
 #: The largest share of differing bits in a run that votes.
 VOTE_ERRORS = MOST_ERRORS / 2
 #: Bytes of integers in a block of queries and in a block of classes; of a product of two blocks' parts; of kept spectra.
-QUERY_BYTES, CLASS_BYTES, PRODUCT_BYTES, SPECTRA_BYTES = 4 << 20, 512 << 10, 8 << 20, 64 << 20
+QUERY_BYTES, CLASS_BYTES, PRODUCT_BYTES, SPECTRA_BYTES = 4 << 20, 512 << 10, 2 << 20, 64 << 20
 #: Far above what single precision loses in a share of equal bits.
 SLACK = 1e-4
 
@@ -184,16 +184,17 @@ def _links(asked: list[np.ndarray], others: list[np.ndarray], least_votes: int)
             if held[0] != size:
                 held = size, np.conj(_spectra(b, size)).transpose(0, 2, 1)
             product = np.matmul(kept[k, size], held[1]).reshape(size // 2 + 1, -1)
-            share = np.fft.irfft(np.ascontiguousarray(product.T), size).reshape(len(a), len(b), size)
+            equal = np.fft.irfft(product, size, axis=0).reshape(size, len(a), len(b))  # equal bits less differing ones
             shifts = np.arange(size)
             shifts[shifts > len(a[-1]) - LEAST_OVERLAP] -= size
             la, lb = (np.array([len(x) for x in side][: 1 if len(side[0]) == len(side[-1]) else None]) for side in (a, b))
-            overlap = np.minimum(la[:, None, None], lb[:, None] + shifts) - np.maximum(shifts, 0)
-            share *= np.where(overlap >= LEAST_OVERLAP, 1 / (32 * np.maximum(overlap, 1)), 0).astype(np.float32)
+            overlap = np.minimum(la[:, None], lb + shifts[:, None, None]) - np.maximum(shifts, 0)[:, None, None]
             low = 1 - 2 * MOST_ERRORS - SLACK
-            for i, j in zip(*np.nonzero(share.max(axis=2) >= low), strict=True):
-                at = np.flatnonzero(share[i, j] >= low)
-                if (best := best_shift(a[i], b[j], shifts[at], share[i, j, at], least_votes)) is not None:
+            wanted = np.where(overlap >= LEAST_OVERLAP, 32 * low * overlap, np.inf).astype(np.float32)
+            for i, j in zip(*np.nonzero((equal >= wanted).any(axis=0)), strict=True):
+                own = overlap[:, min(i, len(la) - 1), min(j, len(lb) - 1)]
+                at = np.flatnonzero(equal[:, i, j] >= wanted[:, min(i, len(la) - 1), min(j, len(lb) - 1)])
+                if (best := best_shift(a[i], b[j], shifts[at], equal[at, i, j] / (32 * own[at]), least_votes)) is not None:
                     yield here[i], there[j], *best
 
 
