@@ -42,7 +42,7 @@ LEAST_VOTES, LEAST_OVERLAP, MOST_ERRORS = 2, 16, 0.25
 #: The largest share of differing bits in a run that votes.
 VOTE_ERRORS = MOST_ERRORS / 2
 #: Bytes of integers in a block of queries and in a block of classes; of a product of two blocks' parts; of kept spectra.
-QUERY_BYTES, CLASS_BYTES, PRODUCT_BYTES, SPECTRA_BYTES = 4 << 20, 512 << 10, 2 << 20, 64 << 20
+QUERY_BYTES, CLASS_BYTES, PRODUCT_BYTES, SPECTRA_BYTES = 4 << 20, 512 << 10, 1 << 20, 64 << 20
 #: Far above what single precision loses in a share of equal bits.
 SLACK = 1e-4
 
@@ -140,10 +140,10 @@ def fingerprints(df: DataFrame, media: str, id_column: str, decode: Callable[[ob
 
 def _spectra(prints: list[np.ndarray], size: int) -> np.ndarray:
     """Frequencies x recordings x 32: the transform of each bit over time, as 1 and -1, and 0 behind the end."""
-    bits = np.zeros((len(prints), 32, size), np.float32)
-    for row, own in zip(bits, prints, strict=True):
-        row[:, : len(own)] = np.unpackbits(own.view(np.uint8).reshape(-1, 4), axis=1).T * np.float32(2) - 1
-    return np.ascontiguousarray(np.fft.rfft(bits).transpose(2, 0, 1))
+    bits = np.zeros((size, len(prints), 32), np.float32)
+    for i, own in enumerate(prints):
+        bits[: len(own), i] = np.unpackbits(own.view(np.uint8).reshape(-1, 4), axis=1) * np.float32(2) - 1
+    return np.fft.rfft(bits, axis=0)
 
 
 def best_shift(own: np.ndarray, other: np.ndarray, shifts: np.ndarray, shares: np.ndarray, least_votes: int) -> tuple[float, int] | None:
@@ -163,9 +163,13 @@ def best_shift(own: np.ndarray, other: np.ndarray, shifts: np.ndarray, shares: n
     return best and (best[0], -best[2])
 
 
-def _links(asked: list[np.ndarray], others: list[np.ndarray], least_votes: int) -> Iterator[tuple[int, int, float, int]]:
-    """(index in asked, index in others, bit error, shift) of each pair with a link; all offsets are compared."""
-    kept: dict[tuple[int, int], np.ndarray] = {}
+def _links(asked: list[np.ndarray], others: list[np.ndarray], least_votes: int, kept: dict[tuple[int, int], np.ndarray] | None = None) -> Iterator[tuple[int, int, float, int]]:
+    """(index in asked, index in others, bit error, shift) of each pair with a link; all offsets are compared.
+
+    kept has spectra of the same asked recordings from a call before, and takes new ones.
+    """
+    kept = {} if kept is None else kept
+    room: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
     by_length = [sorted(range(len(x)), key=lambda i: len(x[i])) for x in (asked, others)]
     longest = max(len(x[o[-1]]) for x, o in zip((asked, others), by_length, strict=True))
     step = max(1, int((PRODUCT_BYTES / (8 * longest)) ** 0.5))
@@ -183,8 +187,13 @@ def _links(asked: list[np.ndarray], others: list[np.ndarray], least_votes: int)
                 kept[k, size] = _spectra(a, size)
             if held[0] != size:
                 held = size, np.conj(_spectra(b, size)).transpose(0, 2, 1)
-            product = np.matmul(kept[k, size], held[1]).reshape(size // 2 + 1, -1)
-            equal = np.fft.irfft(product, size, axis=0).reshape(size, len(a), len(b))  # equal bits less differing ones
+            shape = size, len(a), len(b)
+            if shape not in room:  # the arrays of a block are written over by the next one
+                room.clear()
+                room[shape] = np.empty((size // 2 + 1, *shape[1:]), np.complex64), np.empty(shape, np.float32)
+            product, equal = room[shape]
+            np.matmul(kept[k, size], held[1], out=product)
+            np.fft.irfft(product, size, axis=0, out=equal)  # equal bits less differing ones
             shifts = np.arange(size)
             shifts[shifts > len(a[-1]) - LEAST_OVERLAP] -= size
             la, lb = (np.array([len(x) for x in side][: 1 if len(side[0]) == len(side[-1]) else None]) for side in (a, b))
@@ -219,14 +228,19 @@ def align(prints: DataFrame, every: int = 50, least_votes: int = LEAST_VOTES) ->
     left = able.select("class_id", "prints", block(c_blocks).alias("cb")).withColumn("qb", every_block(q_blocks))
     right = able.filter("asked").select(F.col("class_id").alias("query"), "prints", block(q_blocks).alias("qb")).withColumn("cb", every_block(c_blocks))
 
+    last: dict[str, object] = {"queries": None, "kept": {}}  # of the task's group before: often the same queries again
+
     def compare(others: pa.Table, asked: pa.Table) -> pa.Table:
         kinds = pa.schema([("query", others.schema.field("class_id").type), ("n_links", pa.int64()), ("bit_error", pa.float64()), ("class_id", others.schema.field("class_id").type), ("shift", pa.int32())])
         if not others.num_rows or not asked.num_rows:
             return kinds.empty_table()
+        asked = asked.sort_by("query")
         names, queries = others["class_id"].to_pylist(), asked["query"].to_pylist()
+        if last["queries"] != queries:
+            last.update(queries=queries, kept={})
         arrays = [[row.values.to_numpy(zero_copy_only=False).view(np.uint32) for chunk in table["prints"].chunks for row in chunk] for table in (asked, others)]
         found: dict = {}
-        for i, j, error, shift in _links(*arrays, least_votes):
+        for i, j, error, shift in _links(*arrays, least_votes, last["kept"]):
             if queries[i] != names[j]:
                 n, top = found.get(queries[i], (0, None))
                 link = error, names[j], shift
