@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,33 +27,55 @@ WANTED = ("duvet cover", "duvetcover", "dubet cover", "quilt cover", "comforter
 UNWANTED = ("bed sheet", "bedsheet", "flat sheet", "flatsheet", "pillow", "towel", "blanket", "bath mat", "bathrobe", "bath robe", "mattress protector", "duvet insert", "duvet inner", "down duvet")
 
 
+def named_places(headers: Column, columns: dict[str, tuple[str, ...]]) -> Column:
+    """For each column the zero-based places whose header has one of its words, by word, then by place."""
+    low = F.transform(headers, lambda h: F.trim(F.regexp_replace(F.lower(h), r"(?U)\s+", " ")))
+
+    def placed(low: Column) -> Column:
+        places = lambda w: F.array_compact(F.transform(low, lambda h, i: F.when(F.contains(h, F.lit(w)), i)))
+        return F.struct(*[F.array_distinct(F.concat(*[places(w) for w in words])).alias(n) for n, words in columns.items()])
+
+    return let(low, placed)
+
+
 def pick_column(cells: Column, headers: Column, words: tuple[str, ...], fallback: int | None) -> Column:
     """Zero-based place of the value: by word, then by column, the first that is filled; else the fallback column; null if
     the row has neither."""
-    low = F.transform(headers, lambda h: F.trim(F.regexp_replace(F.lower(h), r"(?U)\s+", " ")))
-    places = F.sequence(F.lit(0), F.size(headers) - 1)
-    found = F.flatten(F.transform(F.array(*[F.lit(w) for w in words]), lambda w: F.filter(places, lambda i: F.contains(F.get(low, i), w) & (F.coalesce(F.get(cells, i), F.lit("")) != ""))))
-    first = F.get(found, F.lit(0))
+    return first_filled(cells, named_places(headers, {"all": words})["all"], fallback)
+
+
+def first_filled(cells: Column, places: Column, fallback: int | None) -> Column:
+    first = F.get(F.filter(places, lambda i: F.coalesce(F.get(cells, i), F.lit("")) != ""), F.lit(0))
     return first if fallback is None else F.coalesce(first, F.when(F.size(cells) > fallback, fallback))
 
 
 def mentions(text: Column, products: tuple[str, ...]) -> Column:
     """Whether a text names one of the products, hyphens and spaces aside."""
-    spaced = F.trim(F.regexp_replace(F.lower(text_of(text)), r"(?U)[\s-]+", " "))
-    compact = F.replace(spaced, F.lit(" "), F.lit(""))
-    return F.exists(F.array(*[F.lit(p) for p in products]), lambda p: F.contains(spaced, p) | F.contains(compact, F.replace(p, F.lit(" "), F.lit(""))))
+    return let(_compact(text), lambda c: _names(c, products))
+
+
+def _compact(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text_of(text)), r"(?U)[\s-]+", "")
+
+
+def _names(compact: Column, products: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(compact, F.lit(p)) for p in dict.fromkeys(p.replace(" ", "") for p in products)])
 
 
 def is_cover(text: Column) -> Column:
-    return ~mentions(text, UNWANTED) & mentions(text, WANTED)
+    return let(_compact(text), lambda c: _names(c, WANTED) & ~_names(c, UNWANTED))
 
 
 def raw_items(table: DataFrame) -> DataFrame:
     """One row per table row: the named columns with the cells they came from, descriptions inherited from the row above."""
-    c, h = F.col("cells"), F.col("headers")
-    at = {name: pick_column(c, h, words, fallback) for name, (words, fallback) in COLUMN_WORDS.items()}
+    c = F.col("cells")
+    # what follows from the headers alone is found in one row of each sheet and handed to the others
+    sheet = Window.partitionBy(*SHEET)
+    table = table.withColumn("_nth", F.row_number().over(sheet.orderBy("row"))).withColumn("_own", F.when(F.col("_nth") == 1, named_places(F.col("headers"), {n: words for n, (words, _) in COLUMN_WORDS.items()})))
+    table = table.withColumn("_places", F.first("_own", ignorenulls=True).over(sheet)).drop("_nth", "_own")
+    at = {name: first_filled(c, F.col("_places")[name], fallback) for name, (_, fallback) in COLUMN_WORDS.items()}
     value = lambda place: F.coalesce(F.get(c, place), F.lit(""))
-    rows = table.withColumns({f"_at_{n}": p for n, p in at.items()})
+    rows = table.withColumns({f"_at_{n}": p for n, p in at.items()}).drop("_places")
     named = value(F.col("_at_item_name")) != ""
     rows = rows.withColumn("_at_item_name", F.when(named, F.col("_at_item_name")).otherwise(F.col("_at_description"))).drop("_at_description")
     names = [n for n in COLUMN_WORDS if n != "description"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspark.functions.text import let
+
 SHEET = ["file", "sheet_idx"]
 MOST_COLUMNS = 20
 # Words of a header row, and the words that a footer row begins with.
@@ -53,14 +57,20 @@ def with_islands(df: DataFrame, by: list[str], number: str, name: str = "_island
 
 def header_score(cells: Column, words: tuple[str, ...] = HEADER_WORDS) -> Column:
     """How many header words are part of some cell."""
-    low = F.transform(cells, F.lower)
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.exists(low, lambda c: F.contains(c, w))))
+    joined = F.coalesce(F.lower(F.array_join(cells, "\n")), F.lit(""))  # no word has a line break, so none is found across two cells
+    return let(joined, lambda t: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)))
 
 
 def is_numbered(cells: Column) -> Column:
     return F.coalesce(F.trim(F.get(cells, F.lit(0))).rlike(r"^\d+(\.0)?$"), F.lit(False))
 
 
+def is_led_by_number(cells: Column) -> Column:
+    """Whether the first filled cell is a number."""
+    first = F.get(F.filter(F.transform(cells, F.trim), lambda t: t != ""), F.lit(0))
+    return F.coalesce(first.rlike(r"^\d+(\.0)?$"), F.lit(False))
+
+
 def is_blank(cells: Column) -> Column:
     return ~F.exists(cells, lambda c: F.trim(c) != "")
 
@@ -71,8 +81,8 @@ def row_text(cells: Column) -> Column:
 
 def is_footer(cells: Column) -> Column:
     first = F.lower(F.coalesce(F.get(F.filter(F.transform(cells, F.trim), lambda c: c != ""), F.lit(0)), F.lit("")))
-    words = F.array(*[F.lit(w) for w in FOOTER_WORDS])
-    return F.exists(words, lambda w: F.startswith(first, w) | F.startswith(F.lower(row_text(cells)), w))
+    begins = lambda text: let(text, lambda t: reduce(Column.__or__, [F.startswith(t, F.lit(w)) for w in FOOTER_WORDS]))
+    return begins(first) | begins(F.lower(row_text(cells)))
 
 
 def locate_header(rows: DataFrame) -> DataFrame:
@@ -95,13 +105,17 @@ def locate_header(rows: DataFrame) -> DataFrame:
 def combine_headers(rows: DataFrame) -> DataFrame:
     """One row per sheet: the header texts of each column, top to bottom, a text that repeats (case ignored) once."""
     header = rows.filter("row between header_first and header_last").groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("_rows"))
-    column = lambda i: F.filter(F.transform("_rows", lambda r: F.get(r["cells"], i)), lambda t: F.coalesce(t, F.lit("")) != "")
+    return header.select(*SHEET, _combined(F.col("_rows")).alias("headers"))
+
+
+def _combined(rows: Column) -> Column:
+    """The header texts out of a header's rows (row, cells), which stand in their order."""
+    column = lambda i: F.filter(F.transform(rows, lambda r: F.get(r["cells"], i)), lambda t: F.coalesce(t, F.lit("")) != "")
     once = lambda parts: F.aggregate(
         parts, F.array().cast("array<string>"), lambda kept, t: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(t)), kept).otherwise(F.concat(kept, F.array(t)))
     )
-    width = F.size(F.col("_rows")[0]["cells"])
-    named = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.when(F.size(column(i)) > 0, F.array_join(once(column(i)), " ")).otherwise(F.concat(F.lit("Column "), i + 1)))
-    return header.select(*SHEET, named.alias("headers"))
+    width = F.size(rows[0]["cells"])
+    return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.when(F.size(column(i)) > 0, F.array_join(once(column(i)), " ")).otherwise(F.concat(F.lit("Column "), i + 1)))
 
 
 def table_rows(rows: DataFrame) -> DataFrame:
@@ -113,6 +127,10 @@ def table_rows(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*SHEET)
     c = F.col("cells")
     body = locate_header(rows).withColumn("footer", is_footer(c) & ~F.col("blank"))
+    # the header's texts are combined in one row of each sheet and handed to the others
+    body = body.withColumn("_rows", F.array_sort(F.collect_list(F.when(F.col("row").between(F.col("header_first"), F.col("header_last")), F.struct("row", "cells"))).over(whole)))
+    body = body.withColumn("_headers", F.when(F.col("row") == F.col("header_first"), _combined(F.col("_rows")))).drop("_rows")
+    body = body.withColumn("headers", F.first("_headers", ignorenulls=True).over(whole)).filter("headers is not null").drop("_headers")
     below = F.col("row") > F.col("header_last")
     item = below & F.col("numbered") & ~F.col("footer")
     body = body.withColumn("item", item)
@@ -125,14 +143,13 @@ def table_rows(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum(F.col("item").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     body = body.withColumns({"_note": note, "_part": before})
     items = body.withColumn("section_note", F.coalesce(carried(F.col("_note"), [*SHEET, "_part"], "row"), F.lit(""))).filter("item")
-    return items.join(combine_headers(locate_header(rows)), SHEET).select(*SHEET, "sheet", "row", "cells", "headers", "section_note")
+    return items.select(*SHEET, "sheet", "row", "cells", "headers", "section_note")
 
 
 def numbered_blocks(rows: DataFrame) -> DataFrame:
     """Runs of consecutive rows whose first filled cell is a number: first and last row, and the header rows (score two)
     among the three rows above."""
-    first = F.get(F.filter(F.transform("cells", F.trim), lambda t: t != ""), F.lit(0))
-    marked = rows.withColumns({"_numeric": F.coalesce(first.rlike(r"^\d+(\.0)?$"), F.lit(False)), "_score": header_score(F.col("cells"))})
+    marked = rows.withColumns({"_numeric": is_led_by_number(F.col("cells")), "_score": header_score(F.col("cells"))})
     above = Window.partitionBy(*SHEET).orderBy("row").rangeBetween(-3, -1)
     marked = marked.withColumn("_headers", F.collect_list(F.when(F.col("_score") >= 2, F.col("row"))).over(above))
     numeric = with_islands(marked.filter("_numeric"), SHEET, "row")
