@@ -103,8 +103,9 @@ def combined_text() -> Column:
 
 def wanted_items(items: DataFrame) -> DataFrame:
     """Rows of the wanted product: the item's name decides, the whole text where the name says nothing."""
-    name = F.col("item_name")
-    return items.withColumn("text", combined_text()).filter(~mentions(name, UNWANTED) & (mentions(name, WANTED) | is_cover(F.col("text"))))
+    named = let(_compact(F.col("item_name")), lambda c: F.when(_names(c, UNWANTED), -1).when(_names(c, WANTED), 1).otherwise(0))
+    found = items.withColumns({"text": combined_text(), "_named": named})
+    return found.filter((F.col("_named") == 1) | ((F.col("_named") == 0) & is_cover(F.col("text")))).drop("_named")
 
 
 def formal_records(items: DataFrame, metadata: DataFrame) -> DataFrame:
