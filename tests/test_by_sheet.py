@@ -40,3 +40,8 @@ def test_rows_give_what_cells_give(spark):
     assert same(structure.own_evidence(numbered), *columns) == same(items.join(recs, ["scope_id", "row"], "left_semi"), *columns)
     columns = ("file", "role", "scope_ids", "record_ids", "ranges", "candidate_id")
     assert same(structure.row_layouts(rows), *columns) == same(structure.layout_candidates(cells, found, recs, rows), *columns)
+
+
+def test_parties_need_no_join(spark):
+    plan = QUERIES["sheet_parties"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 1 and "Join" not in plan and "weftspark-" not in plan

@@ -85,6 +85,14 @@ def is_footer(cells: Column) -> Column:
     return begins(first) | begins(F.lower(row_text(cells)))
 
 
+def first_header_row(whole: Window) -> Column:
+    """Of rows with score and numbered, the first of their sheet (the window `whole`) with a score of three, else the row
+    above the first numbered one."""
+    by_score = F.min(F.when(F.col("score") >= 3, F.col("row"))).over(whole)
+    by_number = F.greatest(F.min(F.when(F.col("numbered"), F.col("row"))).over(whole) - 1, F.lit(1))
+    return F.coalesce(by_score, by_number)
+
+
 def locate_header(rows: DataFrame) -> DataFrame:
     """rows with first and last header row of their sheet: a score of three, or the row above the first numbered one; up to
     two rows behind it that score two go on with it."""
@@ -94,9 +102,7 @@ def locate_header(rows: DataFrame) -> DataFrame:
     goes_on = (F.col("score") >= 2) & ~F.col("blank") & ~F.col("numbered")
     marked = marked.withColumns({"_next": F.coalesce(F.lead(goes_on, 1).over(order), F.lit(False)), "_after": F.coalesce(F.lead(goes_on, 2).over(order), F.lit(False))})
     whole = Window.partitionBy(*SHEET)
-    by_score = F.min(F.when(F.col("score") >= 3, F.col("row"))).over(whole)
-    by_number = F.greatest(F.min(F.when(F.col("numbered"), F.col("row"))).over(whole) - 1, F.lit(1))
-    marked = marked.withColumn("header_first", F.coalesce(by_score, by_number))
+    marked = marked.withColumn("header_first", first_header_row(whole))
     length = F.when(F.col("_next") & F.col("_after"), 2).when(F.col("_next"), 1).otherwise(0)
     last = F.max(F.when(F.col("row") == F.col("header_first"), F.col("row") + length)).over(whole)
     return marked.withColumn("header_last", last).filter("header_first is not null").drop("_next", "_after")
