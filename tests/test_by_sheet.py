@@ -45,3 +45,8 @@ def test_rows_give_what_cells_give(spark):
 def test_parties_need_no_join(spark):
     plan = QUERIES["sheet_parties"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 1 and "Join" not in plan and "weftspark-" not in plan
+
+
+def test_records_deal_rows_once_a_side(spark):
+    plan = QUERIES["sheet_records"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 2 and plan.count("Join") <= 1 and "weftspark-" not in plan
